@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import packing, rank_queue, token_files, warc
+from cellweave.llm import packing, rank_queue, simhash, suffix_family, token_files, warc
 
 LIBRARY_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANK_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +25,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), LIBRARY_VOCABULARY)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_family.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), LIBRARY_VOCABULARY)
 
@@ -50,7 +58,7 @@ from grouped
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_packing, op5_token_files, op6_rank_queue)}
+    return {f.__name__: f for f in (op1_warc, op2_packing, op3_suffix_dedup, op4_simhash, op5_token_files, op6_rank_queue)}
 
 
 def oracle_sql() -> dict[str, str]:
