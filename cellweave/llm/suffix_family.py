@@ -20,7 +20,8 @@ documents.
    It is merged with the level of its size, and so on upwards, so sizes grow
    geometrically and each suffix is merged a logarithmic number of times. Batches are then
    scanned against the levels: a string whose smallest doc_id is below a
-   document's own is removed there.
+   document's own is removed there. Stretches that are equal as a whole need no such
+   scan, and neither do those whose key no different stretch has.
 5. Each file's removed stretches come back to the task that reads this file.
 
 Keys are a filter and may collide; strings themselves are compared as bytes.
@@ -56,9 +57,12 @@ def _mixed(v: np.ndarray) -> np.ndarray:
 
 def _keys(data: np.ndarray, length: int) -> np.ndarray:
     """The key of the string at each position of ``data`` (at least ``length`` bytes)."""
-    n = len(data) - 7
-    word = np.ndarray((n,), "<u8", np.ascontiguousarray(data), 0, (1,)).copy()
-    grams = _mixed(word[: n - 8] ^ (word[8:] * np.uint64(0xFF51AFD7ED558CCD)))
+    n = len(data) - GRAM + 1
+    word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,)).copy()
+    grams = word[:n]
+    for at in range(8, GRAM, 8):
+        grams = (grams * np.uint64(0xFF51AFD7ED558CCD)) ^ word[at : at + n]
+    grams = _mixed(grams)
     low, width, want = grams, 1, length - GRAM + 1
     while 2 * width <= want:
         low = np.minimum(low[:-width], low[width:])
@@ -121,6 +125,13 @@ def _from_six(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _with_rivals(texts: list[bytes], length: int) -> np.ndarray:
+    """Which of the stretches share their key with a different one; no string of the others stands elsewhere."""
+    heads = np.concatenate([_keys(np.frombuffer(b"".join(t[:length] for t in texts[at : at + 4096]), np.uint8), length)[::length] for at in range(0, len(texts), 4096)])
+    _, inverse, counts = np.unique(heads, return_inverse=True, return_counts=True)
+    return np.flatnonzero(counts[inverse] > 1)
+
+
 class SuffixFamily:
     """Levels of suffix arrays, each with its distinct strings in order and their smallest doc_ids."""
 
@@ -276,7 +287,7 @@ class SuffixDedup:
         def scan(table: pa.Table) -> pa.Table:
             table = table.sort_by([("file", "ascending"), ("run", "ascending")])
             seen: dict[bytes, int] = {}
-            texts, lows, highs, places = [], [], [], []
+            texts, places = [], []
             for file, sizes, strings, entry, doc, row, start in zip(*(table[c].to_pylist() for c in ("file", "sizes", "strings", "entry", "doc", "row", "start")), strict=True):
                 ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
                 known = []
@@ -289,49 +300,53 @@ class SuffixDedup:
                 entry = np.array(known, np.int64)[np.frombuffer(entry, "<u4")]
                 places.append((np.full(len(entry), file), entry, np.frombuffer(doc, "<i8"), np.frombuffer(row, "<u4"), np.frombuffer(start, "<u4")))
             file, entry, doc, row, start = (np.concatenate(x) for x in zip(*places, strict=True))
+            sizes = np.array([len(t) for t in texts], np.int64)
             lows = np.full(len(texts), np.iinfo(np.int64).max)
-            highs = np.full(len(texts), np.iinfo(np.int64).min)
             np.minimum.at(lows, entry, doc)
-            np.maximum.at(highs, entry, doc)
-            count = np.array([len(t) - length + 1 for t in texts], np.int64)
-            upto = np.cumsum(count)
-            family, cuts = SuffixFamily(length), [0]
-            while cuts[-1] < len(texts):
+            out: dict[int, list[tuple]] = defaultdict(list)
+
+            def remove(place: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+                for f in np.unique(file[place]).tolist():
+                    hit = file[place] == f
+                    out[f].append((row[place][hit], at[hit], size[hit]))
+
+            # a whole stretch that an earlier document has too
+            again = np.flatnonzero(doc > lows[entry])
+            remove(again, start[again].astype(np.int64), sizes[entry[again]])
+            # strings of the earliest copy of each, against other stretches with its key
+            rivals = _with_rivals(texts, length)
+            first = np.flatnonzero(doc == lows[entry])
+            first = first[np.argsort(entry[first], kind="stable")]
+            offsets = np.searchsorted(entry[first], np.arange(len(texts) + 1))
+            family, count = SuffixFamily(length), sizes - length + 1
+            upto = np.cumsum(count[rivals])
+            cuts = [0]
+            while cuts[-1] < len(rivals):
                 before = upto[cuts[-1] - 1] if cuts[-1] else 0
                 cuts.append(max(cuts[-1] + 1, int(np.searchsorted(upto, before + batch_strings, side="right"))))
 
-            def strings_of(lo: int, hi: int) -> np.ndarray:
-                data = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
-                begin = np.cumsum(np.append(0, count[lo : hi - 1] + length - 1))
-                at = np.arange(count[lo:hi].sum()) + np.repeat(begin - np.append(0, np.cumsum(count[lo : hi - 1])), count[lo:hi])
-                view = np.lib.stride_tricks.sliding_window_view(data, length)[at]
-                return np.ascontiguousarray(view).view(family.kind).ravel()
+            def batch(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """The strings of some stretches, the stretch of each, and its place in it."""
+                mine = rivals[lo:hi]
+                data = np.frombuffer(b"".join(texts[i] for i in mine.tolist()), np.uint8)
+                begin, n = np.cumsum(sizes[mine]) - sizes[mine], count[mine]
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                view = np.lib.stride_tricks.sliding_window_view(data, length)[np.repeat(begin, n) + inside]
+                return np.ascontiguousarray(view).view(family.kind).ravel(), np.repeat(mine, n), inside
 
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                family.add(strings_of(lo, hi), np.repeat(lows[lo:hi], count[lo:hi]))
-            entries_by = np.argsort(entry, kind="stable")
-            offsets = np.searchsorted(entry[entries_by], np.arange(len(texts) + 1))
-            out: dict[int, list[tuple]] = defaultdict(list)
+                strings, text, _ = batch(lo, hi)
+                family.add(strings, lows[text])
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                smallest = family.smallest(strings_of(lo, hi))
-                text = np.repeat(np.arange(lo, hi), count[lo:hi])
-                new = np.append(True, (smallest[1:] != smallest[:-1]) | (text[1:] != text[:-1]))
-                first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(text)))
-                base = (upto - count)[text[first]] - (upto - count)[lo]
-                useful = smallest[first] < highs[text[first]]
-                first, n, base = first[useful], n[useful], base[useful]
-                which = text[first]
+                strings, text, inside = batch(lo, hi)
+                gone = family.smallest(strings) < lows[text]
+                head = np.flatnonzero(gone & np.append(True, ~gone[:-1] | (text[1:] != text[:-1])))
+                tail = np.flatnonzero(gone & np.append(~gone[1:] | (text[1:] != text[:-1]), True))
+                which, n = text[head], tail - head + length
                 times = offsets[which + 1] - offsets[which]
-                again = np.repeat(np.arange(len(first)), times)
-                place = entries_by[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + offsets[which][again]]
-                mine = smallest[first][again] < doc[place]
-                again, place = again[mine], place[mine]
-                at = start[place].astype(np.int64) + (first - base)[again]
-                size = n[again] + length - 1
-                for f in np.unique(file[place]).tolist():
-                    hit = file[place] == f
-                    out[f].append((row[place][hit], at[hit], size[hit]))
+                span = np.repeat(np.arange(len(head)), times)
+                place = first[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + offsets[which][span]]
+                remove(place, start[place].astype(np.int64) + inside[head][span], n[span])
             told = [(f, *(np.concatenate(x).astype("<u4").tobytes() for x in zip(*parts, strict=True))) for f, parts in out.items()]
             return pa.Table.from_arrays([pa.array([r[i] for r in told], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
@@ -378,7 +393,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), reach[np.append(first[1:], len(starts)) - 1].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, carry: list[str] | None = None, with_kept: bool = False, hot_runs: int = 128, bucket_bytes: int = 8 << 20, batch_strings: int = 1 << 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, carry: list[str] | None = None, with_kept: bool = False, hot_runs: int = 512, bucket_bytes: int = 8 << 20, batch_strings: int = 1 << 16) -> DataFrame:
     """The ``carry`` columns (doc_id) of each row, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_kept`` the bytes left."""
     spark = docs.sparkSession
     carry = ["doc_id"] if carry is None else carry
@@ -388,3 +403,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: list[str] | None =
     found = work.removals(work.candidates(work.shared_keys()))
     told = work.cleaned(found, fields, with_kept)
     return told if with_kept else told.drop("kept")
+
+
+def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+    """``docs`` with the repeats taken out of ``text``; a character that has lost some of its bytes goes as a whole."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.column(batch.schema.get_field_index("kept")).to_pylist()
+            yield batch.select(names).set_column(names.index("text"), "text", pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
+
+    names = docs.columns
+    told = remove_repeats(docs, length, carry=names, with_kept=True).select(*names, "kept")
+    return told.mapInArrow(decode, docs.schema)
