@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import packing, quality, rank_queue, secrets, sharding, simhash, suffix_family, token_files, warc
+from cellweave.llm import neighbours, packing, quality, rank_queue, secrets, sharding, simhash, suffix_family, token_files, warc
 
 LIBRARY_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANK_VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -49,6 +49,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -160,7 +164,7 @@ from texts left join told using (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_packing, op3_suffix_dedup, op4_simhash, op5_token_files, op6_rank_queue, op7_secrets, op8_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_packing, op3_suffix_dedup, op4_simhash, op5_token_files, op6_rank_queue, op7_secrets, op8_quality, op9_neighbours, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
