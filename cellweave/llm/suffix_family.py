@@ -138,24 +138,37 @@ class SuffixFamily:
     def __init__(self, length: int):
         self.kind, self.levels = f"S{length}", {}
 
-    def add(self, strings: np.ndarray, docs: np.ndarray) -> None:
-        """Give a batch its suffix array, then merge levels of one size class until none is shared."""
-        level = self._array(strings, docs)
+    def add(self, strings: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Give a batch its suffix array, then merge levels of one size class until none is shared; the batch's distinct strings, and which each is."""
+        level, which = self._array(strings, docs)
+        told = level[0], which
         while (size := max(1, len(level[0])).bit_length()) in self.levels:
-            other = self.levels.pop(size)
-            level = self._array(np.concatenate((other[0], level[0])), np.concatenate((other[1], level[1])))
+            level = self._merged(self.levels.pop(size), level)
         self.levels[size] = level
+        return told
 
-    def _array(self, strings: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _array(self, strings: np.ndarray, docs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
         order = np.argsort(strings, kind="stable")  # of two levels in order this is one merge
         strings = strings[order]
         new = np.ones(len(strings), bool)
         new[1:] = strings[1:] != strings[:-1]
         first = np.flatnonzero(new)
-        return strings[first], np.minimum.reduceat(docs[order], first) if len(first) else docs[order]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return (strings[first], np.minimum.reduceat(docs[order], first) if len(first) else docs[order]), which
+
+    def _merged(self, a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+        return self._array(np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1])))[0]
+
+    def close(self) -> None:
+        """Merge all levels, from the smallest up, for the scans that follow."""
+        level = None
+        for size in sorted(self.levels):
+            level = self.levels[size] if level is None else self._merged(self.levels[size], level)
+        self.levels = {} if level is None else {0: level}
 
     def smallest(self, strings: np.ndarray) -> np.ndarray:
-        """The smallest doc_id that has each string (the largest integer: none), over all levels."""
+        """The smallest doc_id that has each string (the largest integer: none), over all levels; quickest for strings in order."""
         best = np.full(len(strings), np.iinfo(np.int64).max)
         for known, docs in self.levels.values():
             at = np.minimum(np.searchsorted(known, strings), len(known) - 1)
@@ -334,12 +347,13 @@ class SuffixDedup:
                 view = np.lib.stride_tricks.sliding_window_view(data, length)[np.repeat(begin, n) + inside]
                 return np.ascontiguousarray(view).view(family.kind).ravel(), np.repeat(mine, n), inside
 
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                strings, text, _ = batch(lo, hi)
-                family.add(strings, lows[text])
+            scans = []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 strings, text, inside = batch(lo, hi)
-                gone = family.smallest(strings) < lows[text]
+                scans.append((*family.add(strings, lows[text]), text, inside))
+            family.close()
+            for strings, which, text, inside in scans:
+                gone = family.smallest(strings)[which] < lows[text]
                 head = np.flatnonzero(gone & np.append(True, ~gone[:-1] | (text[1:] != text[:-1])))
                 tail = np.flatnonzero(gone & np.append(~gone[1:] | (text[1:] != text[:-1]), True))
                 which, n = text[head], tail - head + length

@@ -58,5 +58,8 @@ def test_family_levels_grow_geometrically():
         for s, d in zip(strings.tolist(), docs.tolist(), strict=True):
             known[s] = min(d, known.get(s, d))
     assert len(family.levels) <= 8
+    before = {s: family.smallest(np.array([s]))[0] for s in list(known)[:20]}
+    family.close()
+    assert len(family.levels) == 1 and all(family.smallest(np.array([s]))[0] == d for s, d in before.items())
     names = np.array([*known, b"zzzz"])
     assert family.smallest(names).tolist() == [*known.values(), np.iinfo(np.int64).max]
