@@ -134,16 +134,16 @@ def agg_overview(df: DataFrame, keys: list[str], tile: str, extent: str, cols: i
     near = df.where((e["xmin"] < xmax) & (e["xmax"] > xmin) & (e["ymin"] < ymax) & (e["ymax"] > ymin))
     first = lambda v, n: F.greatest(F.lit(0), F.ceil(v - 0.5)).cast("int")
     last = lambda v, n: F.least(F.lit(n - 1), F.ceil(v - 0.5) - 1).cast("int")
+    t = F.col(tile)
     span = near.select(
-        *keys, tile, extent,
+        *keys, t["cells"].alias("_cells"), t["cols"].alias("_w"), t["rows"].alias("_h"), *(e[k].alias(f"_{k}") for k in ("xmin", "ymin", "xmax", "ymax")),
         first((e["xmin"] - xmin) / w, cols).alias("_c0"), last((e["xmax"] - xmin) / w, cols).alias("_c1"),
         first((ymax - e["ymax"]) / h, rows).alias("_r0"), last((ymax - e["ymin"]) / h, rows).alias("_r1"),
     ).where("_c0 <= _c1 and _r0 <= _r1")
     at = span.withColumn("_c", F.explode(F.sequence("_c0", "_c1"))).withColumn("_r", F.explode(F.sequence("_r0", "_r1")))
-    t = F.col(tile)
-    sx = F.least(F.floor((xmin + (F.col("_c") + 0.5) * w - e["xmin"]) / (e["xmax"] - e["xmin"]) * t["cols"]).cast("int"), t["cols"] - 1)
-    sy = F.least(F.floor((e["ymax"] - (ymax - (F.col("_r") + 0.5) * h)) / (e["ymax"] - e["ymin"]) * t["rows"]).cast("int"), t["rows"] - 1)
-    cells = at.select(*keys, "_c", "_r", F.get(t["cells"], sy * t["cols"] + sx).alias("_v")).groupBy(*keys, "_c", "_r").agg(F.max("_v").alias("_v"))
+    sx = F.least(F.floor((xmin + (F.col("_c") + 0.5) * w - F.col("_xmin")) / (F.col("_xmax") - F.col("_xmin")) * F.col("_w")).cast("int"), F.col("_w") - 1)
+    sy = F.least(F.floor((F.col("_ymax") - (ymax - (F.col("_r") + 0.5) * h)) / (F.col("_ymax") - F.col("_ymin")) * F.col("_h")).cast("int"), F.col("_h") - 1)
+    cells = at.select(*keys, "_c", "_r", F.get("_cells", sy * F.col("_w") + sx).alias("_v")).groupBy(*keys, "_c", "_r").agg(F.max("_v").alias("_v"))
     return cells.groupBy(*keys).agg(assembled("_c", "_r", "_v", cols, rows).alias("overview"))
 
 
