@@ -12,6 +12,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.definitions import DEFINITIONS
+from cellweave.tiles import TILE
 
 _ALSO = {"rf_rescale": "rf_rescale_range", "rf_standardize": "rf_standardize_by", "rf_z2_index": "rf_z2_index_by"}
 
@@ -21,6 +22,8 @@ def register(spark: SparkSession) -> SparkSession:
     if spark.conf.get("cellweave.registered", None) != spark.sparkContext.applicationId:
         for name, (params, returns, body) in DEFINITIONS.items():
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {returns} RETURN {body}")
+        spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION rf_explode_tiles(t {TILE}) RETURNS TABLE (column_index INT, row_index INT, cell DOUBLE)
+            RETURN SELECT int(p.pos % t.cols), int(p.pos div t.cols), p.col FROM posexplode(t.cells) p""")
         spark.conf.set("cellweave.registered", spark.sparkContext.applicationId)
     from cellweave.functions import geometry, kernels
 
@@ -49,6 +52,20 @@ def call(name: str, *args) -> Column:
     return F.call_function(name, *map(_column, args))
 
 
+def rf_mk_crs(crs: str) -> Column:
+    """A literal CRS; raises if it is not an EPSG code."""
+    if not crs.upper().startswith("EPSG:") or not crs[5:].isdigit():
+        raise ValueError(f"not an EPSG code: {crs}")
+    return F.lit(crs.upper())
+
+
+def rf_local_algebra(op, left, right) -> Column:
+    """Any function of two columns, cell by cell, as a tile."""
+    a, b = _column(left), _column(right)
+    made = F.struct(a["cell_type"].alias("cell_type"), a["cols"].alias("cols"), a["rows"].alias("rows"), F.zip_with(a["cells"], b["cells"], op).alias("cells"))
+    return F.when(a.isNotNull() & b.isNotNull(), made)
+
+
 def _count(name: str) -> int:
     depth, n = 0, 1
     for c in DEFINITIONS[name][0]:

@@ -99,6 +99,12 @@ def agg_extent(extent: Column | str) -> Column:
     return F.struct(F.min(e["xmin"]).alias("xmin"), F.min(e["ymin"]).alias("ymin"), F.max(e["xmax"]).alias("xmax"), F.max(e["ymax"]).alias("ymax"))
 
 
+def agg_reprojected_extent(extent: Column | str, source_crs: Column | str, target_crs: str) -> Column:
+    """The box of all boxes, each moved to ``target_crs`` first."""
+    e, c = (F.col(x) if isinstance(x, str) else x for x in (extent, source_crs))
+    return agg_extent(rf.call("rf_reprojected_extent", e, c, F.lit(target_crs)))
+
+
 #: What each aggregate by position makes of the cells at one.
 LOCAL = {
     "max": lambda x: F.max(x),

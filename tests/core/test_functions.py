@@ -90,3 +90,22 @@ def test_collected_tiles(spark):
     assert (t + t).to_row()["cells"] == [2.0, None, 6.0, 8.0]
     assert (t * 2 - 1).to_row()["cells"] == [1.0, None, 5.0, 7.0]
     assert Extent(0, 0, 2, 1).buffer(1).width == 4 and Extent(0, 0, 1, 1).intersects(Extent(1, 1, 2, 2))
+
+
+def test_sql_table_function_and_algebra(spark):
+    rows = spark.sql("select c.* from (select rf_array_to_tile(array(1D, 2D, 3D, 4D), 2, 2) t) s, lateral rf_explode_tiles(s.t) c").collect()
+    assert sorted(map(tuple, rows)) == [(0, 0, 1.0), (0, 1, 3.0), (1, 0, 2.0), (1, 1, 4.0)]
+    t = spark.sql("select rf_array_to_tile(array(1D, 2D, 3D, 4D), 2, 2) t")
+    assert t.select(rf.rf_local_algebra(lambda x, y: x * y + 1, "t", "t").alias("v")).first().v["cells"] == [2.0, 5.0, 10.0, 17.0]
+    e = spark.sql("select st_makeBBox(0D, 0D, 1D, 1D) e, 'EPSG:4326' c")
+    assert abs(e.agg(C.agg_reprojected_extent("e", "c", "EPSG:3857").alias("x")).first().x["xmax"] - 111319.49) < 0.01
+    with pytest.raises(ValueError):
+        rf.rf_mk_crs("here")
+
+
+def test_histograms(spark):
+    from cellweave.operators.histograms import CellHistogram
+
+    h = CellHistogram(one(spark, "rf_tile_histogram(rf_array_to_tile(array(1D, 2D, 2D, 4D), 2, 2))")["bins"])
+    assert (h.labels, h.total_count, h.item_count(2.0), h.mode, h.mean) == ([1.0, 2.0, 4.0], 4, 2, 2.0, 2.25)
+    assert h.quantiles([0.25, 0.5, 1.0]) == [1.0, 1.5, 4.0] and h.ascii().count("\n") == 2
