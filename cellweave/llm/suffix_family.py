@@ -39,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +47,7 @@ from pyspark.sql import types as T
 from cellweave.llm._shared import opened, rows_in, work_dir
 
 GRAM, RUN_BYTES, STEP = 16, 4 << 20, 1 << 18
-RESULTS = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+RESULTS = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
 def _mixed(v: np.ndarray) -> np.ndarray:
@@ -132,6 +133,14 @@ def _with_rivals(texts: list[bytes], length: int) -> np.ndarray:
     return np.flatnonzero(counts[inverse] > 1)
 
 
+def _small(data: bytes) -> bytes:
+    return zstandard.compress(data, 1)
+
+
+def _whole(data: bytes) -> bytes:
+    return zstandard.decompress(data)
+
+
 class SuffixFamily:
     """Levels of suffix arrays, each with its distinct strings in order and their smallest doc_ids."""
 
@@ -250,16 +259,16 @@ class SuffixDedup:
         files, bits, length = self.files, self.bits, self.length
         kinds = pa.schema([("bucket", pa.int32()), ("file", pa.int32()), ("run", pa.int32()), ("sizes", pa.binary()), ("strings", pa.binary()), ("entry", pa.binary()), ("doc", pa.binary()), ("row", pa.binary()), ("start", pa.binary())])
 
-        def pick(group: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
+        def pick(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
 
-            by_run = defaultdict(list)
-            for run, keys, hot in zip(*(group[c].to_pylist() for c in ("run", "keys", "hot")), strict=True):
+            by_run, file = defaultdict(list), -1
+            for file, run, keys, hot in rows_in(group, "file", "run", "keys", "hot"):
                 by_run[run].append((_from_six(keys), np.frombuffer(hot, np.uint8)))
-            file, out = group["file"][0].as_py(), []
             for run, first_row, table in runs_of(files[file], ["_doc", "_bytes"]):
                 if run not in by_run:
                     continue
+                out = []
                 known, hot = (np.concatenate(x) for x in zip(*by_run[run], strict=True))
                 order = np.argsort(known)
                 known, hot = known[order], hot[order]
@@ -287,8 +296,9 @@ class SuffixDedup:
                             put(bucket, raw[p : p + n - 1 + length], doc_id, row, start)
                 for bucket, (entries, *places) in buckets.items():
                     entry, docs, at_row, at = (np.array(x, k).tobytes() for x, k in zip(places, ("<u4", "<i8", "<u4", "<u4"), strict=True))
-                    out.append((bucket, file, run, np.array([len(x) for x in entries], "<u4").tobytes(), b"".join(entries), entry, docs, at_row, at))
-            return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kinds)], schema=kinds)
+                    sizes = np.array([len(x) for x in entries], "<u4").tobytes()
+                    out.append((bucket, file, run, *map(_small, (sizes, b"".join(entries), entry, docs, at_row, at))))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
         return shared.groupBy("file").applyInArrow(pick, "bucket int, file int, run int, sizes binary, strings binary, entry binary, doc binary, row binary, start binary")
 
@@ -301,7 +311,8 @@ class SuffixDedup:
             table = table.sort_by([("file", "ascending"), ("run", "ascending")])
             seen: dict[bytes, int] = {}
             texts, places = [], []
-            for file, sizes, strings, entry, doc, row, start in zip(*(table[c].to_pylist() for c in ("file", "sizes", "strings", "entry", "doc", "row", "start")), strict=True):
+            for file, *packed in zip(*(table[c].to_pylist() for c in ("file", "sizes", "strings", "entry", "doc", "row", "start")), strict=True):
+                sizes, strings, entry, doc, row, start = map(_whole, packed)
                 ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
                 known = []
                 for lo, hi in zip([0, *ends], ends, strict=False):
@@ -366,22 +377,24 @@ class SuffixDedup:
 
         return sent.groupBy("bucket").applyInArrow(scan, "file int, rows binary, starts binary, sizes binary")
 
-    def cleaned(self, removed: DataFrame, carry: list[T.StructField], with_kept: bool) -> DataFrame:
-        """The rows of all files, with what is left of their texts."""
-        files, names = self.files, [f.name for f in carry]
-        every = self.each_file().select("file", *(F.lit(b"").alias(c) for c in ("rows", "starts", "sizes")))
-        schema = T.StructType([*carry, *T._parse_datatype_string(RESULTS).fields])
+    def cleaned(self, removed: DataFrame, carry: list[T.StructField], results: bool, as_text: bool) -> DataFrame:
+        """The rows of all files: the carried columns, of which ``text`` is what is left if ``as_text``, and the results."""
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        files, names = self.files, [f.name for f in carry]
+        every = self.each_file().select("file", *(F.lit(b"").alias(c) for c in ("rows", "starts", "sizes")))
+        schema = T.StructType([*carry, *(T._parse_datatype_string(RESULTS).fields if results else [])])
         arrow = to_arrow_schema(schema)
 
-        def clean(table: pa.Table) -> Iterator[pa.RecordBatch] | pa.Table:
-            rows, starts, sizes = (np.frombuffer(b"".join(table[c].to_pylist()), "<u4").astype(np.int64) for c in ("rows", "starts", "sizes"))
+        def clean(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            file, held = -1, []
+            for file, *told in rows_in(group, "file", "rows", "starts", "sizes"):
+                held.append(told)
+            rows, starts, sizes = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in zip(*held, strict=True))
             order = np.lexsort((starts, rows))
             rows, starts, ends = rows[order], starts[order], (starts + sizes)[order]
-            out = []
-            for _, first, part in runs_of(files[table["file"][0].as_py()], list(dict.fromkeys([*names, "_bytes"]))):
-                told = []
+            for _, first, part in runs_of(files[file], list(dict.fromkeys([*names, "_bytes"]))):
+                told, texts = [], []
                 at = np.searchsorted(rows, np.arange(first, first + len(part) + 1))
                 for i, text in enumerate(part["_bytes"].to_pylist()):
                     spans = merged(starts[at[i] : at[i + 1]], ends[at[i] : at[i + 1]])
@@ -390,10 +403,12 @@ class SuffixDedup:
                         kept.append(text[done:lo])
                         done = hi
                     left = b"".join([*kept, text[done:]])
-                    told.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left if with_kept else None))
-                columns = [part[c] for c in names] + [pa.array(x) for x in zip(*told, strict=True)]
-                out.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow))
-            return pa.concat_tables(out) if out else arrow.empty_table()
+                    told.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest()))
+                    if as_text:
+                        texts.append(left.decode("utf-8", "ignore"))
+                columns = [pa.array(texts) if as_text and c == "text" else part[c].combine_chunks() for c in names]
+                columns += [pa.array(x) for x in zip(*told, strict=True)] if results else []
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         return removed.unionByName(every).groupBy("file").applyInArrow(clean, schema)
 
@@ -407,26 +422,19 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), reach[np.append(first[1:], len(starts)) - 1].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, carry: list[str] | None = None, with_kept: bool = False, hot_runs: int = 512, bucket_bytes: int = 8 << 20, batch_strings: int = 1 << 16) -> DataFrame:
-    """The ``carry`` columns (doc_id) of each row, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_kept`` the bytes left."""
+def _cleaned(docs: DataFrame, length: int, carry: list[str], results: bool, as_text: bool, hot_runs: int, bucket_bytes: int, batch_strings: int) -> DataFrame:
     spark = docs.sparkSession
-    carry = ["doc_id"] if carry is None else carry
     work = SuffixDedup(spark, length, hot_runs, bucket_bytes, batch_strings)
     work.write(docs, f"{work_dir(spark, 'suffix')}/texts")
-    fields = [docs.schema[c] for c in carry]
     found = work.removals(work.candidates(work.shared_keys()))
-    told = work.cleaned(found, fields, with_kept)
-    return told if with_kept else told.drop("kept")
+    return work.cleaned(found, [docs.schema[c] for c in carry], results, as_text)
 
 
-def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """``docs`` with the repeats taken out of ``text``; a character that has lost some of its bytes goes as a whole."""
+def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = ("doc_id",), hot_runs: int = 512, bucket_bytes: int = 8 << 20, batch_strings: int = 1 << 16) -> DataFrame:
+    """The ``carry`` columns of each row, n_bytes, n_removed, n_spans and kept_sha256."""
+    return _cleaned(docs, length, list(carry), True, False, hot_runs, bucket_bytes, batch_strings)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = batch.column(batch.schema.get_field_index("kept")).to_pylist()
-            yield batch.select(names).set_column(names.index("text"), "text", pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
 
-    names = docs.columns
-    told = remove_repeats(docs, length, carry=names, with_kept=True).select(*names, "kept")
-    return told.mapInArrow(decode, docs.schema)
+def without_repeats(docs: DataFrame, length: int = 50, hot_runs: int = 512, bucket_bytes: int = 8 << 20, batch_strings: int = 1 << 16) -> DataFrame:
+    """``docs`` with the repeats taken out of ``text``; a character that has lost some of its bytes goes as a whole."""
+    return _cleaned(docs, length, docs.columns, False, True, hot_runs, bucket_bytes, batch_strings)
