@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from cellweave.functions.definitions import DEFINITIONS
 from cellweave.tiles import TILE
 
-_ALSO = {"rf_rescale": "rf_rescale_range", "rf_standardize": "rf_standardize_by", "rf_z2_index": "rf_z2_index_by"}
-
 
 def register(spark: SparkSession) -> SparkSession:
     """Make all functions known to SQL and to the functions of this module in ``spark``."""
@@ -47,8 +45,6 @@ def call(name: str, *args) -> Column:
         whole = f"{name}_int" in DEFINITIONS and all(isinstance(n, int) for n in numbers)
         name += "_int" if whole else "_double"
         args = (args[0], *(a if whole or not isinstance(a, int | Decimal) else float(a) for a in args[1:]))
-    elif name in _ALSO and len(args) == _count(_ALSO[name]):
-        name = _ALSO[name]
     return F.call_function(name, *map(_column, args))
 
 
@@ -66,14 +62,6 @@ def rf_local_algebra(op, left, right) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), made)
 
 
-def _count(name: str) -> int:
-    depth, n = 0, 1
-    for c in DEFINITIONS[name][0]:
-        depth += (c == "<") - (c == ">")
-        n += c == "," and not depth
-    return n
-
-
 def __getattr__(name: str):
     """``rf_*`` and ``st_*`` as functions of columns."""
     if name.startswith(("rf_", "st_")):

@@ -95,19 +95,19 @@ _unary("rf_exp", "exp(x)", True)
 _unary("rf_exp10", "pow(10D, x)", True)
 _unary("rf_exp2", "pow(2D, x)", True)
 _unary("rf_expm1", "expm1(x)", True)
-define("rf_rescale_range", f"a {TILE}, low DOUBLE, high DOUBLE", TILE, tile("transform(a.cells, x -> if(x is null, null, try_divide(least(greatest(x, low), high) - low, high - low)))", "'float32'"))
-define("rf_rescale", f"a {TILE}", TILE, "rf_rescale_range(a, array_min(a.cells), array_max(a.cells))")
-define("rf_standardize_by", f"a {TILE}, mean DOUBLE, stddev DOUBLE", TILE, tile("transform(a.cells, x -> try_divide(x - mean, stddev))", "'float32'"))
-define("rf_local_extract_bits", f"a {TILE}, low INT, num INT", TILE, tile("transform(a.cells, x -> double(shiftright(int(x), low) & (shiftleft(1, num) - 1)))"))
+define("rf_rescale", f"a {TILE}, low DOUBLE DEFAULT NULL, high DOUBLE DEFAULT NULL", TILE, tile("transform(a.cells, x -> if(x is null, null, try_divide(least(greatest(x, coalesce(low, array_min(a.cells))), coalesce(high, array_max(a.cells))) - coalesce(low, array_min(a.cells)), coalesce(high, array_max(a.cells)) - coalesce(low, array_min(a.cells)))))", "'float32'"))
+define("rf_local_extract_bits", f"a {TILE}, low INT, num INT DEFAULT 1", TILE, tile("transform(a.cells, x -> double(shiftright(int(x), low) & (shiftleft(1, num) - 1)))"))
 DEFINITIONS["rf_local_extract_bit"] = DEFINITIONS["rf_local_extract_bits"]
 
-# masking: no data where the mask says so
-for _name, _when in {
-    "rf_mask": "y is null", "rf_inverse_mask": "y is not null",
-}.items():
-    define(_name, f"a {TILE}, m {TILE}", TILE, f"if(m is null, null, {tile(f'zip_with(a.cells, m.cells, (x, y) -> if({_when}, null, x))')})")
-for _name, _when in {"rf_mask_by_value": "int(y) <=> v", "rf_inverse_mask_by_value": "not (int(y) <=> v)"}.items():
-    define(_name, f"a {TILE}, m {TILE}, v INT", TILE, f"if(m is null, null, {tile(f'zip_with(a.cells, m.cells, (x, y) -> if({_when}, null, x))')})")
+# masking: no data where the mask says so, or where it does not if ``inverse``
+def _masked(name: str, more: str, where: str) -> None:
+    define(name, f"a {TILE}, m {TILE}{more}", TILE, f"if(m is null, null, {tile(f'zip_with(a.cells, m.cells, (x, y) -> if({where}, null, x))')})")
+
+
+_masked("rf_mask", ", inverse BOOLEAN DEFAULT false", "(y is null) <> inverse")
+_masked("rf_inverse_mask", "", "y is not null")
+_masked("rf_mask_by_value", ", v INT, inverse BOOLEAN DEFAULT false", "(int(y) <=> v) <> inverse")
+_masked("rf_inverse_mask_by_value", ", v INT", "not (int(y) <=> v)")
 define("rf_mask_by_values", f"a {TILE}, m {TILE}, vs ARRAY<INT>", TILE, f"if(m is null, null, {tile('zip_with(a.cells, m.cells, (x, y) -> if(coalesce(array_contains(vs, int(y)), false), null, x))')})")
 define("rf_mask_by_bits", f"a {TILE}, m {TILE}, low INT, num INT, vs ARRAY<INT>", TILE, "rf_mask_by_values(a, rf_local_extract_bits(m, low, num), vs)")
 define("rf_mask_by_bit", f"a {TILE}, m {TILE}, pos INT, v BOOLEAN", TILE, "rf_mask_by_values(a, rf_local_extract_bits(m, pos, 1), array(int(v)))")
@@ -159,7 +159,10 @@ define(
     f"aggregate(a.cells, named_struct('n', 0L, 's', 0D, 'q', 0D), (t, x) -> if(x is null, t, named_struct('n', t.n + 1, 's', t.s + x, 'q', t.q + x * x)), "
     "t -> if(t.n = 0, null, named_struct('data_cells', t.n, 'no_data_cells', bigint(size(a.cells)) - t.n, 'min', array_min(a.cells), 'max', array_max(a.cells), 'mean', t.s / t.n, 'variance', greatest(0D, t.q / t.n - pow(t.s / t.n, 2)))))",
 )
-define("rf_standardize", f"a {TILE}", TILE, "rf_standardize_by(a, rf_tile_stats(a).mean, sqrt(rf_tile_stats(a).variance))")
+define(
+    "rf_standardize", f"a {TILE}, mean DOUBLE DEFAULT NULL, stddev DOUBLE DEFAULT NULL", TILE,
+    f"aggregate(array(rf_tile_stats(a)), cast(null as {TILE}), (t, s) -> {tile("transform(a.cells, x -> try_divide(x - coalesce(mean, s.mean), coalesce(stddev, sqrt(s.variance))))", "'float32'")})",
+)
 define("rf_tile_histogram", f"a {TILE}", "STRUCT<bins: ARRAY<STRUCT<value: DOUBLE, count: BIGINT>>>", "named_struct('bins', transform(array_sort(array_distinct(array_compact(a.cells))), v -> named_struct('value', v, 'count', bigint(size(array_compact(a.cells)) - size(array_remove(array_compact(a.cells), v))))))")
 
 # boxes, keys and indexes
@@ -171,6 +174,5 @@ _cell = lambda v, low, width: f"bigint(least(floor(({v} - ({low})) / {width} * p
 define("rf_z2_of", "lng DOUBLE, lat DOUBLE, res INT", "BIGINT", f"({_spread(_cell('lng', '-180D', '360D'))}) | shiftleft({_spread(_cell('lat', '-90D', '180D'))}, 1)")
 define("rf_mercator_lng", "x DOUBLE", "DOUBLE", "x / 20037508.342789244D * 180")
 define("rf_mercator_lat", "y DOUBLE", "DOUBLE", "degrees(2 * atan(exp(y / 6378137D)) - pi() / 2)")
-define("rf_z2_index_by", f"e {EXTENT}, crs STRING, res INT", "BIGINT", "case crs when 'EPSG:4326' then rf_z2_of((e.xmin + e.xmax) / 2, (e.ymin + e.ymax) / 2, res) when 'EPSG:3857' then rf_z2_of(rf_mercator_lng((e.xmin + e.xmax) / 2), rf_mercator_lat((e.ymin + e.ymax) / 2), res) else raise_error(concat('no closed form for ', crs)) end")
-define("rf_z2_index", f"e {EXTENT}, crs STRING", "BIGINT", "rf_z2_index_by(e, crs, 31)")
+define("rf_z2_index", f"e {EXTENT}, crs STRING, res INT DEFAULT 31", "BIGINT", "case crs when 'EPSG:4326' then rf_z2_of((e.xmin + e.xmax) / 2, (e.ymin + e.ymax) / 2, res) when 'EPSG:3857' then rf_z2_of(rf_mercator_lng((e.xmin + e.xmax) / 2), rf_mercator_lat((e.ymin + e.ymax) / 2), res) else raise_error(concat('no closed form for ', crs)) end")
 define("st_distanceSphere_of", "x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE", "DOUBLE", "2 * 6371008.7714D * asin(least(1D, sqrt(pow(sin(radians(y1 - y0) / 2), 2) + cos(radians(y0)) * cos(radians(y1)) * pow(sin(radians(x1 - x0) / 2), 2))))")
