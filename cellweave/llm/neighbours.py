@@ -43,8 +43,8 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def nearest(queries: np.ndarray, rows: np.ndarray, k: int, skip_self: bool) -> np.ndarray:
     """Positions of the k largest inner products for each query."""
     k, out = min(k, len(rows) - skip_self), []
-    for at in range(0, len(queries), 512):
-        scores = queries[at : at + 512] @ rows.T
+    for at in range(0, len(queries), 256):
+        scores = queries[at : at + 256] @ rows.T
         if skip_self:
             scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -np.inf
         out.append(np.argpartition(-scores, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(scores), 0), int))
@@ -181,7 +181,7 @@ def search(
     k: int = 20,
     id_column: str = "vec_id",
     column: str = "embedding",
-    sample_rows: int = 8192,
+    sample_rows: int = 4096,
     partitions: int = 32,
     aim: float = 0.96,
     chunk_rows: int = 32_768,
