@@ -6,8 +6,8 @@ words stand in three-word windows that occur twice or more in it.
 Divergence: a document's histogram of character classes and its histogram of common
 words of its language (``COMMON``, and all other words as one) are compared, by the
 Jensen-Shannon distance to base 2, with the same histograms summed over all documents of
-its language. Texts shorter than ``min_chars`` characters or ``divergence_words``
-words, and languages with less than ``reference_words`` words in the whole table, are not
+its language that meet the base rules. Texts shorter than ``min_chars`` characters or ``divergence_words``
+words, and languages with less than ``reference_words`` words in such documents of the whole table, are not
 judged this way, since their histograms say too little.
 
 Words are runs of anything but space and the characters 9 to 13. A three-word
@@ -17,7 +17,7 @@ Null or empty text has no words and fails. A null language is a language of its
 own, for which only character classes are compared, as for any language without a
 list. Repeated rows are judged alike; no rows give none; other columns pass
 through :func:`judged` unless they have the name of a result. The work is DataFrame expressions
-alone: one pass over the texts, a narrow table in the shared folder, and sums by language.
+alone: one pass over the texts, a table in the shared folder, and sums by language.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ COMMON = {
 }
 #: Character classes beside white space; what is left are small letters.
 CLASSES = {"capitals": "[A-Z]+", "digits": "[0-9]+", "marks": "[!-/:-@\\[-`{-~]+", "beyond_ascii": "[^\\x00-\\x7F]+"}
+#: Languages (some 200 bytes each) up to which their references are sent to all executors; beyond, both sides are shuffled.
+BROADCAST_LANGUAGES = 10_000
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -124,24 +126,26 @@ def judged(
     min_chars: int = 200,
     divergence_words: int = 100,
     reference_words: int = 2000,
-    class_distance: float = 0.28,
-    word_distance: float = 0.26,
+    class_distance: float = 0.29,
+    word_distance: float = 0.295,
 ) -> DataFrame:
     """``extra`` columns, the base counts, both distances, base_failed and kept."""
     spark = docs.sparkSession
     if "lang" not in docs.columns:
         docs = docs.withColumn("lang", F.lit(None).cast("string"))
-    held = stored(features(docs, extra), f"{work_dir(spark, 'quality')}/features")
+    folder = work_dir(spark, "quality")
+    held = stored(features(docs, extra), f"{folder}/features")
     size = len(CLASSES) + 2
     most = max(map(len, COMMON.values())) + 1
     at = [F.coalesce(F.sum(F.get("_chars", F.lit(i))), F.lit(0)).cast("double") for i in range(size)]
     words = [F.sum(F.get("_told", F.lit(i))).cast("double") for i in range(most)]
-    references = held.groupBy("_lang").agg(F.array(*at).alias("_chars_ref"), F.filter(F.array(*words), lambda x: x.isNotNull()).alias("_told_ref"), F.sum("n_words").alias("_ref_words"))
-    compared = held.join(references, "_lang")
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    references = held.where(~failed).groupBy("_lang").agg(F.array(*at).alias("_chars_ref"), F.filter(F.array(*words), lambda x: x.isNotNull()).alias("_told_ref"), F.sum("n_words").alias("_ref_words"))
+    references = stored(references, f"{folder}/references")
+    compared = held.join(F.broadcast(references) if references.count() <= BROADCAST_LANGUAGES else references, "_lang", "left")
     known = F.col("_ref_words") >= reference_words
     by_class = F.when(known & (F.col("n_words") + F.col("word_chars") >= min_chars), distance(F.transform("_chars", lambda x: x.cast("double")), F.col("_chars_ref")))
     by_word = F.when(known & (F.col("n_words") >= divergence_words) & (F.size("_told") > 1), distance(F.transform("_told", lambda x: x.cast("double")), F.col("_told_ref")))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     compared = compared.select(*extra, *BASE, by_class.alias("class_distance"), by_word.alias("word_distance"), failed.alias("base_failed"))
     close = (F.coalesce("class_distance", F.lit(0.0)) <= class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= word_distance)
     return compared.withColumn("kept", ~F.col("base_failed") & close)

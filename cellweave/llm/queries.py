@@ -74,7 +74,7 @@ from grouped
 
 
 def _op8_sql() -> str:
-    limits = {"class": 0.28, "word": 0.26}
+    limits = {"class": 0.29, "word": 0.295}
     lists = " ".join(f"when '{lang}' then {listed!r}" for lang, listed in quality.COMMON.items())
     classes = ", ".join(f"length(rest) - length(regexp_replace(rest, '{p}', '', 'g'))" for p in quality.CLASSES.values())
     return f"""
@@ -99,30 +99,31 @@ with texts as (
   select rid, i from windows qualify count(*) over (partition by rid, trio) > 1
 ), repeated as (
   select rid, count(distinct i + k) as n from again, (values (0), (1), (2)) t(k) group by rid
+), based as (
+  select t.*, coalesce(r.n, 0) as n_repeat_words, n_words < 50 or 100 * coalesce(r.n, 0) > 50 * n_words as base_failed
+  from told t left join repeated r using (rid)
 ), bins as (
-  select rid, lang, 'class' as kind, unnest(range(0, 2 + len(marked))) as bin, unnest(list_concat([word_chars - n_rest, n_chars - word_chars], marked)) as n from told
+  select rid, lang, base_failed, 'class' as kind, unnest(range(0, 2 + len(marked))) as bin, unnest(list_concat([word_chars - n_rest, n_chars - word_chars], marked)) as n from based
   union all
-  select rid, lang, 'word', unnest(range(0, len(stop) + 1)),
+  select rid, lang, base_failed, 'word', unnest(range(0, len(stop) + 1)),
          unnest(list_append(list_transform(stop, lambda s: len(list_filter(words, lambda w: w = s))), len(list_filter(words, lambda w: not list_contains(stop, w)))))
-  from told where len(stop) > 0
+  from based where len(stop) > 0
 ), shares as (
   select *, n / nullif(sum(n) over (partition by rid, kind), 0) as p,
-         sum(n) over (partition by lang, kind, bin) / nullif(sum(n) over (partition by lang, kind), 0) as q
+         sum(n) filter (where not base_failed) over (partition by lang, kind, bin) / nullif(sum(n) filter (where not base_failed) over (partition by lang, kind), 0) as q
   from bins
 ), distances as (
   select rid, kind, sqrt(greatest(0, sum(
     case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2)) as d
   from shares where p is not null and q is not null group by rid, kind
 ), verdict as (
-  select t.doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(r.n, 0) as n_repeat_words,
-         sum(n_words) over (partition by lang) >= 2000 as known, c.d as by_class, w.d as by_word
-  from told t left join repeated r using (rid)
+  select t.*, coalesce(sum(n_words) filter (where not base_failed) over (partition by lang), 0) >= 2000 as known, c.d as by_class, w.d as by_word
+  from based t
   left join distances c on c.rid = t.rid and c.kind = 'class'
   left join distances w on w.rid = t.rid and w.kind = 'word'
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words)
+       base_failed, not base_failed
        and not (known and n_words + word_chars >= 200 and coalesce(by_class, 0) > {limits["class"]})
        and not (known and n_words >= 100 and coalesce(by_word, 0) > {limits["word"]}) as kept
 from verdict
