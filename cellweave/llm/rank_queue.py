@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm._shared import batches_of, opened, rows_in
-from cellweave.llm.vocabulary import PieceCache, pieces
+from cellweave.llm.vocabulary import PieceEncoder
 
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -70,13 +70,10 @@ class RankQueue:
         return rank, position
 
 
-class RankEncoder:
+class RankEncoder(PieceEncoder):
     """Encodes and decodes with the ranks of a tiktoken file."""
 
     def __init__(self, path: str):
-        import regex
-        from public_tokenizers import PATTERN
-
         system, name = opened(path)
         with system.open_input_stream(name, compression=None) as f:
             lines = f.read().split(b"\n")
@@ -84,8 +81,7 @@ class RankEncoder:
         self.bytes_of = {b: a for a, b in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.queue = RankQueue(max(self.bytes_of))
-        self.split = regex.compile(PATTERN).findall
-        self.cache = PieceCache(lambda p: array("I", [i for w in self.split(p) for i in self.pretoken(w.encode())]).tobytes())
+        super().__init__(lambda word: array("I", self.pretoken(word.encode())).tobytes())
 
     def pretoken(self, word: bytes) -> list[int]:
         """The ids of one match of the pattern."""
@@ -123,11 +119,6 @@ class RankEncoder:
             i = after[i]
         return ids
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        found = pieces(text)
-        return b"".join(map(self.cache.__getitem__, self.split(text) if found is None else found))
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
 

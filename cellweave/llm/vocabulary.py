@@ -18,19 +18,22 @@ from functools import lru_cache
 
 #: Entries in each of the two generations of a cache; pieces longer than CACHE_CHARS are never kept.
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 40
+
+
 #: A comma or full stop that stands alone between a letter or digit and a space or line end is a piece of its own.
 _MARKS = ((", ", "\x00,\x00 "), (".\n", "\x00.\x00\n"), (". ", "\x00.\x00 "))
-_CROWDED = re.compile(r"[^\w\s][,.][ \n]")
+_CROWDED = re.compile(r"[\W_][,.][ \n]")
 
 
 def pieces(text: str) -> list[str] | None:
     """``text`` in pieces that no token crosses, or None if only the pattern can tell."""
-    if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\x00" in text:
+    flat = text.replace("\n", " ")
+    if not flat.isprintable() or "  " in flat or flat[:1] == " " or flat[-1:] == " ":  # no printable character but the space is white
         return None
     if not _CROWDED.search(text):
         for mark, cut in _MARKS:
             text = text.replace(mark, cut)
-    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").replace("\x00\x00", "\x00").split("\x00")
+    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").replace("\x00\x00", "\x00").split("\x00") if text else []
 
 
 class PieceCache(dict):
@@ -50,9 +53,6 @@ class PieceCache(dict):
             self.clear()
         self[piece] = ids
 
-    def lacks(self, piece: str) -> bool:
-        return piece not in self and piece not in self.older
-
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
@@ -62,35 +62,42 @@ class PieceCache(dict):
         return ids
 
 
-class LibraryEncoder:
-    """Texts to ids (bytes of little-endian unsigned 32-bit integers) as the tokenizers library gives them."""
+class PieceEncoder:
+    """Texts to ids (bytes of little-endian unsigned 32-bit integers), given the ids of one match of the pattern."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, word: Callable[[str], bytes]):
         import regex
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.split = regex.compile(PATTERN).findall
-        self.letters, self.tokenize = _byte_letters(), self.library.model.tokenize
-        self.cache = PieceCache(self._piece)
-
-    def _word(self, word: str) -> bytes:
-        """The ids of one match of the pattern."""
-        return array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self.word, self.cache = word, PieceCache(self._piece)
 
     def _piece(self, piece: str) -> bytes:
         if (piece[1:] if piece[:1] == " " else piece).isalpha():
-            return self._word(piece)
-        return b"".join(map(self._word, self.split(piece)))
+            return self.word(piece)
+        return b"".join(map(self.word, self.split(piece)))
 
     def encode(self, text: str) -> bytes:
         found = pieces(text)
         return b"".join(map(self.cache.__getitem__, self.split(text) if found is None else found))
 
 
+class LibraryEncoder(PieceEncoder):
+    """Ids as the tokenizers library gives them."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.letters, self.tokenize = _byte_letters(), self.library.model.tokenize
+        super().__init__(self._word)
+
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+
 def _byte_letters() -> dict[int, int]:
     """The letter that byte-level vocabularies write for each byte: itself where it prints, else the next from 256 on."""
     printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
