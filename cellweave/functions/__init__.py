@@ -62,8 +62,24 @@ def rf_local_algebra(op, left, right) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), made)
 
 
+#: Aggregates over columns, which SQL functions can't be.
+_AGGREGATES = {
+    "rf_agg_mean": "agg_mean",
+    "rf_agg_data_cells": "agg_data_cells",
+    "rf_agg_no_data_cells": "agg_no_data_cells",
+    "rf_agg_stats": "agg_stats_column",
+    "rf_agg_extent": "agg_extent",
+    "rf_agg_reprojected_extent": "agg_reprojected_extent",
+    "rf_assemble_tile": "assembled",
+}
+
+
 def __getattr__(name: str):
     """``rf_*`` and ``st_*`` as functions of columns."""
+    if name in _AGGREGATES:
+        from cellweave.operators import cells
+
+        return getattr(cells, _AGGREGATES[name])
     if name.startswith(("rf_", "st_")):
 
         def function(*args) -> Column:

@@ -70,6 +70,17 @@ def agg_no_data_cells(tile: Column | str) -> Column:
     return F.sum(rf.rf_no_data_cells(tile))
 
 
+def agg_stats_column(tile: Column | str) -> Column:
+    """As :func:`agg_stats`, as an aggregate over a column, from one partial per tile."""
+    t = F.col(tile) if isinstance(tile, str) else tile
+    n, squares = F.sum(rf.rf_data_cells(t)), F.sum(F.aggregate(t["cells"], F.lit(0.0), lambda a, x: a + F.coalesce(x * x, F.lit(0.0))))
+    mean = F.try_divide(F.sum(rf.rf_tile_sum(t)), n)
+    return F.struct(
+        n.alias("data_cells"), F.sum(rf.rf_no_data_cells(t)).alias("no_data_cells"), F.min(F.array_min(t["cells"])).alias("min"), F.max(F.array_max(t["cells"])).alias("max"),
+        mean.alias("mean"), F.greatest(F.lit(0.0), F.try_divide(squares, n) - mean * mean).alias("variance"),
+    )
+
+
 def _cells(df: DataFrame, keys: list[str], tile: str) -> DataFrame:
     return df.where(F.col(tile).isNotNull()).select(*keys, F.posexplode(F.col(f"{tile}.cells")).alias("pos", "x"))
 

@@ -109,3 +109,11 @@ def test_histograms(spark):
     h = CellHistogram(one(spark, "rf_tile_histogram(rf_array_to_tile(array(1D, 2D, 2D, 4D), 2, 2))")["bins"])
     assert (h.labels, h.total_count, h.item_count(2.0), h.mode, h.mean) == ([1.0, 2.0, 4.0], 4, 2, 2.0, 2.25)
     assert h.quantiles([0.25, 0.5, 1.0]) == [1.0, 1.5, 4.0] and h.ascii().count("\n") == 2
+
+
+def test_aggregates_of_columns(spark):
+    t = spark.sql("select id % 2 k, rf_mask_by_value(t, t, 3) t from (select id, rf_array_to_tile(transform(array(1D, 2D, 3D, 4D), x -> x + id), 2, 2) t from range(6))")
+    one_ = t.groupBy("k").agg(rf.rf_agg_stats("t").alias("s"), rf.rf_agg_mean("t").alias("m")).select("k", "s.*", "m").orderBy("k").collect()
+    two = C.agg_stats(t, ["k"], "t").orderBy("k").collect()
+    for a, b in zip(one_, two, strict=True):
+        assert np.allclose([float(x) for x in tuple(a)[:-1]], [float(x) for x in b]) and math.isclose(a.m, b["mean"])
