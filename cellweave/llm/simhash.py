@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cellweave.llm._shared import batches_of, rows_in, stored, work_dir
 from cellweave.llm.components import connected, local_components
@@ -226,39 +225,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int
     named = grouped.join(grouped.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("fingerprint", "component_id")
     told = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
     return marked.join(alone.union(named), "fingerprint").select("doc_id", told, "component_id")
-
-
-#: Rows (a doc_id each) up to which the documents to drop are sent to all executors; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
-def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id, and of rows equal in doc_id and text one.
-
-    Rows without doc_id stay if no document of their component has one.
-    """
-    marks = stored(near_duplicates(docs.select("doc_id", "text"), words, radius), f"{work_dir(docs.sparkSession, 'simhash')}/marks")
-    others = marks.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_other"), F.lit(1).alias("_gone")).distinct()
-    if (count := others.count()) == 0:
-        left = docs
-    elif marks.where("doc_id is null and component_id is not null").isEmpty():
-        others = F.broadcast(others) if count <= BROADCAST_ROWS else others
-        left = docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
-    else:  # rows without id are told apart by their fingerprints
-        keyed = fingerprints_beside(docs, words)
-        gone = marks.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_other"), F.col("fingerprint").alias("_mark")).distinct()
-        left = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_other"]) & (keyed["_fingerprint"] == gone["_mark"]), "left_anti").drop("_fingerprint")
-    if marks.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.withColumn("_tie", F.xxhash64("text")).dropDuplicates(["doc_id", "_tie"]).drop("_tie")
-
-
-def fingerprints_beside(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
-    """``docs`` with a column _fingerprint, 16 hexadecimal digits."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.append_column("_fingerprint", pa.array([f"{fingerprint(t, words, seed):016x}" for t in texts], pa.string()))
-
-    return docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("_fingerprint", T.StringType())]))

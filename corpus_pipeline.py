@@ -1,6 +1,6 @@
 """A corpus from raw documents: each stage's rows are written as Parquet and read again by the next.
 
-Quality rules drop documents, SimHash keeps one document of each group, suffix arrays take repeated passages
+Quality rules drop documents, SimHash and shared shingles find near copies of which one stays, suffix arrays take repeated passages
 out of texts, the secret scan puts a mark in place of secrets, and packing
 gives the pieces of the training sequences. The first four return the columns of documents.
 """
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import packing, quality, secrets, simhash, suffix_family
+from cellweave.llm import near_copies, packing, quality, secrets, suffix_family
 from cellweave.llm._shared import stored, work_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,40 @@ def test_no_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def slow_groups(texts):
+    """The least index of each text's component: links are five-word shingle sets alike to 0.8 or more."""
+    sets = []
+    for text in texts:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(sets)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 10 * len(a & b) >= 8 * len(a | b):
+                one, two = sorted((find(i), find(j)))
+                root[two] = one
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_copies_at_the_rule(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for g in range(30):
+        words = [f"w{g}_{i}" for i in range(100)]
+        for changed in range(12):  # each changed word alters up to five shingles of 96: 0.8 lies between 2 and 3
+            new = list(words)
+            for at in rng.choice(100, changed // 2, replace=False):
+                new[at] = f"n{g}_{changed}_{at}"
+            texts.append(" ".join(new))
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect())
+    assert got == sorted(set(slow_groups(texts)))
+    assert len(got) < len(texts) - 30
