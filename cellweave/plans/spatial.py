@@ -155,5 +155,11 @@ def layer_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = C.agg_overview(quantity_tiles(spark, sf_dir), [], "t", "extent", 64, 64, (0.0, 0.0, 16_000.0, 16_000.0))
-    return made.select(rf.rf_data_cells("overview").alias("n"), rf.rf_tile_sum("overview").alias("s"))
+    """An overview of each block of 16 x 16 tiles, so that each tile has 4 x 4 cells at any number of tiles."""
+    block = F.floor(F.col("tile_id") / 256)
+    down = block * 16_000.0
+    e = F.col("extent")
+    box = F.struct(e["xmin"].alias("xmin"), (e["ymin"] - down).alias("ymin"), e["xmax"].alias("xmax"), (e["ymax"] - down).alias("ymax"))
+    moved = quantity_tiles(spark, sf_dir).select(block.alias("block"), "t", box.alias("extent"))
+    made = C.agg_overview(moved, ["block"], "t", "extent", 64, 64, (0.0, 0.0, 16_000.0, 16_000.0))
+    return made.select("block", rf.rf_data_cells("overview").alias("n"), rf.rf_tile_sum("overview").alias("s"))

@@ -39,3 +39,11 @@ def test_query(spark, duck, name):
 def test_plans_stay_in_the_jvm(spark):
     plan = QUERIES["normalized_difference"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan
+
+
+def test_overview_has_cells_of_all_tiles(spark):
+    sf = "/root/testdata/sf0.01"
+    told = duckdb.sql(f"""select l_orderkey // 8 // 256 as block, count(distinct (l_orderkey, l_linenumber)) as n, sum(l_quantity) as s
+        from '{sf}/lineitem.parquet' where (l_linenumber - 1) % 2 = 0 and l_orderkey % 2 = 1 group by 1""").fetchall()
+    got = [(r.block, r.n, r.s) for r in QUERIES["overview"](spark, sf).collect()]
+    assert len(got) > 1 and sorted(got) == sorted((b, n, float(s)) for b, n, s in told)
