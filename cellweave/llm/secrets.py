@@ -49,6 +49,18 @@ MORE = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._%+-]{1,64}:[A-Za-z0-9._%+-]{3,64}@"),
 )
+#: A private key goes up to its END line; without one, as far as lines of base64 (the last one may be short) go.
+_KEY_BEGIN = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+_KEY_HEADERS = r"(?:[ \t\r\n]*[A-Za-z]+(?:-[A-Za-z]+)*:[^\n]*\n)*"
+_KEY_LINES = r"(?:[ \t\r\n]+[A-Za-z0-9+/]{16,}={0,2})*(?:[ \t\r]*\n[A-Za-z0-9+/]{1,15}={0,2}(?![^\r\n]))?"
+#: What :func:`redacted` takes out: MORE with whole keys and logins of any length. The SQL of the report is made from MORE, which stays.
+WHOLE = tuple(
+    {
+        "private_key": Rule("private_key", _KEY_BEGIN + rf"(?:{_KEY_HEADERS}[^-]*-----END [A-Z ]{{0,30}}PRIVATE KEY-----|{_KEY_HEADERS}{_KEY_LINES})"),
+        "url_login": Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._%+-]+:[A-Za-z0-9._%+-]{3,}@"),
+    }.get(r.kind, r)
+    for r in MORE
+)
 #: Candidates (16 bytes each) up to which they are sent to all executors; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -164,7 +176,7 @@ def _of(kind: int):
     return lambda s: s["kind"] == kind
 
 
-def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = BASE + WHOLE) -> DataFrame:
     """``docs`` with each stretch of text under any span replaced by ``mark``."""
     found = scan(docs, rules)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))

@@ -52,6 +52,18 @@ def test_redacted(spark):
     assert dict(secrets.redacted(frame).select("doc_id", "text").collect()) == {1: "a [SECRET] b [SECRET]", 2: "clean", 3: ""}
 
 
+def test_whole_keys_and_long_logins_go(spark):
+    lines = "\n".join("Ab1/+" * 12 + "wxyz" for _ in range(400))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n{lines}\nQ1w2e3==\n-----END RSA PRIVATE KEY-----"
+    cut = f"-----BEGIN PRIVATE KEY-----\n{lines}\nQ1w2e3r4"
+    login = "https://" + "u" * 80 + ":" + "p4" * 100 + "@"
+    texts = [f"before {key} after", f"before {cut}\nand more words", f"see {login}host/x", "a -----BEGIN PRIVATE KEY----- line in prose", f"{key}\nbetween - two\n{key}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = dict(secrets.redacted(frame).select("doc_id", "text").collect())
+    assert got == {0: "before [SECRET] after", 1: "before [SECRET]\nand more words", 2: "see [SECRET]host/x", 3: "a [SECRET] line in prose", 4: "[SECRET]\nbetween - two\n[SECRET]"}
+    check(frame)
+
+
 pieces = st.recursive(st.sampled_from(["abc", "a", "bcd", "[ab]", "[a-z]", "\\w", ".", "x?", "(?:ab){1,2}"]), lambda x: st.one_of(st.lists(x, min_size=1, max_size=4).map("".join), st.lists(x, min_size=2, max_size=3).map(lambda p: f"(?:{'|'.join(p)})"), x.map(lambda p: f"(?:{p})+"), x.map(lambda p: f"(?:{p})*")), max_leaves=8)
 
 
