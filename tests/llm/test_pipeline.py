@@ -104,3 +104,10 @@ def test_near_copies_at_the_rule(spark):
     got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect())
     assert got == sorted(set(slow_groups(texts)))
     assert len(got) < len(texts) - 30
+
+
+def test_repeated_ids_with_other_texts(spark):
+    same = " ".join(f"word{i} of the" for i in range(60))
+    rows = [(1, same), (5, same), (5, " ".join(f"other{i}" for i in range(90)))]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == [rows[0], rows[2]]
