@@ -1,15 +1,16 @@
 """Token files: concatenated ids with Elias-Fano coded document boundaries.
 
 A file holds, in this order: ``MAGIC``; the ids of its documents one after the
-other, little-endian, 2 bytes each where the vocabulary allows it and else 4; the
+other, little-endian, 2 bytes each if the vocabulary's largest id and the end id fit and else 4; the
 end of each document (its number of ids and of those before it) as an Elias-Fano
 sequence; the documents' ids less the smallest as another; a JSON footer; the
 footer's length as 4 bytes; ``MAGIC``.
 
 An Elias-Fano sequence keeps the low bits of each value in a packed array and the
 high parts as a bit vector with a one for each value. The position of every 256th
-one is kept, so ``select`` reads a few words to give a boundary: about
-``2 + log2(ids / documents)`` bits a document instead of 64.
+one is kept, so ``select`` reads a few bytes from the nearest one to give a boundary: about
+``2 + log2(ids / documents)`` bits a document instead of 64. Readers take their boundaries by ``select``
+for ``BLOCK`` documents at a time; no table of all of them is made.
 
 Files are written in ascending doc_id order over a range partitioning, each by one
 streaming task that holds no more than the boundaries; a manifest row names each
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +35,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.llm._shared import attempt_file, batch_of, batches_of, opened, rows_in, stored, work_dir
-from cellweave.llm.vocabulary import library_encoder
+from cellweave.llm.vocabulary import encoded_rows, library_encoder
 
-MAGIC, SAMPLE = b"CWTOKEN1", 256
+MAGIC, SAMPLE, BLOCK = b"CWTOKEN1", 256, 4096
 MANIFEST = "part int, file string, documents bigint, ids bigint"
 TOKENS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -59,34 +62,26 @@ class EliasFano:
         marks[at] = 1
         return cls(n, bits, low, np.packbits(marks, bitorder="little"), at[::SAMPLE].astype("<u8"))
 
-    def _low(self, i: int) -> int:
-        first = i * self.low_bits
-        raw = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little")
-        return (raw >> (first % 8)) & ((1 << self.low_bits) - 1)
-
-    def select(self, i: int) -> int:
-        """Value ``i``: from the nearest kept one, over the bytes up to the wanted one."""
-        if not 0 <= i < self.count:
-            raise IndexError(i)
-        at, left = int(self.ones[i // SAMPLE]), i % SAMPLE
-        while left:
-            at += 1
-            byte = int(self.high[at // 8]) >> (at % 8)
-            if (here := byte.bit_count()) < left or not byte:
-                at, left = at | 7, left - here
-            else:
-                at += (byte & -byte).bit_length() - 1
-                left -= 1
-        return ((at - i) << self.low_bits) | self._low(i)
-
-    def values(self) -> np.ndarray:
-        """All of them at once."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count].astype(np.uint64)
-        high = at - np.arange(self.count, dtype=np.uint64)
-        if not self.low_bits:
+    def select(self, first: int, end: int | None = None):
+        """Value ``first``, or values ``first`` to before ``end``: from the nearest kept one, over the bytes up to the last wanted one."""
+        if end is None:
+            return int(self.select(first, first + 1)[0])
+        if not 0 <= first < end <= self.count:
+            raise IndexError((first, end))
+        kept = first // SAMPLE
+        begin = int(self.ones[kept])
+        after = -(-end // SAMPLE)
+        stop = int(self.ones[after]) + 1 if after < len(self.ones) else len(self.high) * 8
+        bits = np.unpackbits(self.high[begin // 8 : (stop + 7) // 8], bitorder="little")
+        bits[: begin % 8] = 0
+        at = np.flatnonzero(bits)[first - kept * SAMPLE : end - kept * SAMPLE] + begin // 8 * 8
+        high = (at - np.arange(first, end)).astype(np.uint64)
+        if not (width := self.low_bits):
             return high
-        each = np.unpackbits(self.low, bitorder="little")[: self.count * self.low_bits].reshape(self.count, self.low_bits).astype(np.uint64)
-        return (high << np.uint64(self.low_bits)) | (each << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        from_bit = first * width
+        low = np.unpackbits(self.low[from_bit // 8 : (end * width + 7) // 8], bitorder="little")[from_bit % 8 :]
+        each = low[: (end - first) * width].reshape(-1, width).astype(np.uint64)
+        return (high << np.uint64(width)) | (each << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
     def parts(self) -> tuple[dict, bytes]:
         held = [self.low.tobytes(), self.high.tobytes(), self.ones.tobytes()]
@@ -99,17 +94,17 @@ class EliasFano:
 
 
 class TokenWriter:
-    """Documents, in ascending order of their ids, to one file."""
+    """Documents, in ascending order of their ids, to one file; raises for an id that ``id_bytes`` can't hold."""
 
     def __init__(self, uri: str, id_bytes: int):
         system, path = opened(uri)
         self.out, self.id_bytes, self.written = system.open_output_stream(path, compression=None), id_bytes, 0
-        self.ends: list[int] = []
-        self.names: list[int] = []
-        self.unnamed = 0
+        self.ends, self.names, self.unnamed = array("q"), array("q"), 0
         self.out.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if self.id_bytes < 4 and len(ids) and int(ids.max()) >> (8 * self.id_bytes):
+            raise ValueError(f"id {int(ids.max())} in {self.id_bytes} bytes")
         self.out.write(ids.astype(f"<u{self.id_bytes}").tobytes())
         self.written += len(ids)
         self.ends.append(self.written)
@@ -120,8 +115,8 @@ class TokenWriter:
 
     def close(self) -> None:
         ends, data = EliasFano.of(np.array(self.ends, np.uint64)).parts()
-        first = min(self.names, default=0)
-        names, more = EliasFano.of(np.array([x - first for x in self.names], np.uint64)).parts()
+        first = self.names[0] if self.names else 0
+        names, more = EliasFano.of(np.array(self.names, np.int64).astype(np.uint64) - np.array(first, np.int64).astype(np.uint64)).parts()
         footer = json.dumps({"id_bytes": self.id_bytes, "ids": self.written, "unnamed": self.unnamed, "first": first, "ends": ends, "names": names}).encode()
         self.out.write(data + more + footer + len(footer).to_bytes(4, "little") + MAGIC)
         self.out.close()
@@ -149,34 +144,41 @@ class TokenFile:
         return np.frombuffer(self.data.read_at((end - first) * width, len(MAGIC) + first * width), f"<u{width}")
 
     def document(self, i: int) -> np.ndarray:
-        """The ids of the ``i``-th document, found by select."""
+        """The ids of the ``i``-th document."""
         return self.ids(self.ends.select(i - 1) if i else 0, self.ends.select(i))
 
     def documents(self, run: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, ids before it in this file, its ids) of each; reads about ``run`` ids at a time."""
-        ends = self.ends.values().astype(np.int64)
-        starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-        names = [None] * self.about["unnamed"] + [int(x) + self.about["first"] for x in self.names.values()]
-        i = 0
-        while i < len(ends):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + run, side="right")))
-            held = self.ids(int(starts[i]), int(ends[j - 1]))
-            for k in range(i, j):
-                yield names[k], int(starts[k]), held[starts[k] - starts[i] : ends[k] - starts[i]]
-            i = j
+        start, unnamed = 0, self.about["unnamed"]
+        for lo in range(0, self.ends.count, BLOCK):
+            hi = min(lo + BLOCK, self.ends.count)
+            ends = [start, *self.ends.select(lo, hi).astype(np.int64).tolist()]
+            names = [None] * max(0, min(hi, unnamed) - lo)
+            if hi > unnamed:
+                names += (self.names.select(max(0, lo - unnamed), hi - unnamed).astype(np.int64) + self.about["first"]).tolist()
+            i = 0
+            while i < hi - lo:
+                j = max(i + 1, bisect_right(ends, ends[i] + run) - 1)
+                held = self.ids(ends[i], ends[j])
+                for k in range(i, j):
+                    yield names[k], ends[k], held[ends[k] - ends[i] : ends[k + 1] - ends[i]]
+                i = j
+            start = ends[-1]
         self.data.close()
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, id_bytes: int = 2) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Write the ids of all documents below ``folder``; the manifest, a stored table with a row per file in order."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, uri = library_encoder(vocabulary), None, ""
+        id_bytes = 2 if max(encoder.largest_id, end_id) < 1 << 16 else 4
         end = np.array([end_id], "<u4")
-        for doc_id, text in rows_in(batches, "doc_id", "text"):
-            if writer is None:
-                writer = TokenWriter(uri := attempt_file(f"{folder}/files", ".tok"), id_bytes)
-            writer.add(doc_id, np.concatenate((np.frombuffer(encoder.encode(text), "<u4"), end)) if text else end)
+        for doc_ids, ids, ends in encoded_rows(batches, encoder):
+            for doc_id, lo, hi in zip(doc_ids, [0, *ends.tolist()], ends.tolist(), strict=False):
+                if writer is None:
+                    writer = TokenWriter(uri := attempt_file(f"{folder}/files", ".tok"), id_bytes)
+                writer.add(doc_id, np.concatenate((ids[lo:hi], end)))
         if writer is not None:
             writer.close()
             yield batch_of([(TaskContext.get().partitionId(), uri, len(writer.ends), writer.written)], part="int32", file="string", documents="int64", ids="int64")
@@ -202,6 +204,6 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return files.repartition(max(1, manifest.count())).mapInArrow(read, TOKENS)
 
 
-def token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, id_bytes: int = 2) -> DataFrame:
+def token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Write and read back."""
-    return read_tokens(write_tokens(docs, work_dir(docs.sparkSession, "tokens"), vocabulary, end_id, id_bytes))
+    return read_tokens(write_tokens(docs, work_dir(docs.sparkSession, "tokens"), vocabulary, end_id))

@@ -19,7 +19,6 @@ from cellweave.llm.queries import LIBRARY_VOCABULARY, RANK_VOCABULARY
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(LIBRARY_VOCABULARY)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -105,8 +104,29 @@ def test_elias_fano(values):
     values = sorted(values)
     told, data = token_files.EliasFano.of(np.array(values, np.uint64)).parts()
     back = token_files.EliasFano.read(told, data)
-    assert back.values().tolist() == values
     assert [back.select(i) for i in range(0, len(values), 7)] == values[::7]
+    for lo in range(0, len(values), 97):
+        assert back.select(lo, len(values)).tolist() == values[lo:]
+        assert back.select(lo, lo + 1).tolist() == values[lo : lo + 1]
+    assert back.low.nbytes + back.high.nbytes <= len(values) * (3 + max(0, (values[-1] // len(values)).bit_length())) / 8 + 2 if values else True
+
+
+def test_reading_takes_offsets_from_select(spark, odd, monkeypatch, tmp_path):
+    """Without select there is no boundary, and the whole sequence is never unpacked at once."""
+    manifest = token_files.write_tokens(odd, f"file://{tmp_path}", LIBRARY_VOCABULARY)
+    files = [token_files.TokenFile(r.file) for r in manifest.orderBy("part").collect()]
+    asked, select = [], token_files.EliasFano.select
+    monkeypatch.setattr(token_files.EliasFano, "select", lambda self, *a: asked.append(a) or select(self, *a))
+    told = [(name, ids.tolist()) for f in files for name, _, ids in f.documents()]
+    assert asked and len(told) == odd.count()
+    again = [token_files.TokenFile(r.file) for r in manifest.orderBy("part").collect()]
+    assert [ids for _, ids in told] == [f.document(i).tolist() for f in again for i in range(f.ends.count)]
+
+
+def test_ids_that_do_not_fit(tmp_path):
+    writer = token_files.TokenWriter(f"file://{tmp_path}/x.tok", 2)
+    with pytest.raises(ValueError):
+        writer.add(1, np.array([70_000], "<u4"))
 
 
 def test_rank_queue_documents(odd, plain):
