@@ -1,7 +1,8 @@
 """The folder that the driver and all executors share, and how Python code on either side opens files there.
 
 Every intermediate table or file goes below ``spark.checkpoint.dir``. Where a
-session has none (tests, a laptop), ``LOCAL_DEFAULT`` is used. Files that tasks
+local session has none (a laptop), ``LOCAL_DEFAULT`` is used; on a cluster that is an error, as
+each machine would write to a disk of its own. Files that tasks
 write themselves have a name of their own per attempt, and only the names in the
 rows of committed tasks are ever read: a lost or repeated attempt leaves at most
 an unused file behind.
@@ -18,13 +19,46 @@ LOCAL_DEFAULT = "file:///tmp/checkpoints"
 
 
 def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL_DEFAULT
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = LOCAL_DEFAULT
     return (root if "://" in root or root.startswith("file:") else f"file://{root}").rstrip("/")
 
 
+#: The folders named by :func:`work_dir` that :func:`release` has not removed.
+_named: list[str] = []
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder name for one run of an operator."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _named.append(f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}")
+    return _named[-1]
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the folders named since ``len(_named)`` was ``since``: for callers that have stored what they want of the results."""
+    for path in _named[since:]:
+        discard(spark, path)
+    del _named[since:]
+
+
+def named() -> int:
+    """A place in the list of named folders, for :func:`release`."""
+    return len(_named)
+
+
+def fresh(taken, *stems: str) -> list[str]:
+    """Names for columns that no column in ``taken`` has, in any case of letters."""
+    taken, out = {c.lower() for c in taken}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def stored(df: DataFrame, path: str, *partition_by: str) -> DataFrame:

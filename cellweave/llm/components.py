@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._shared import stored
+from cellweave.llm._shared import discard, stored
 
 
 def local_components(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -28,7 +28,7 @@ def connected(edges: DataFrame, folder: str) -> DataFrame:
 
     Each round takes the smallest label among neighbours, then the label of the
     label, so rounds grow with the logarithm of a path's length. A round's table is
-    written in the shared folder. Nothing but the count of changes reaches the driver.
+    written in the shared folder, and the one before it is removed. Nothing but whether anything changed reaches the driver.
     """
     both = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")).distinct(), f"{folder}/links")
     labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("next")).alias("label")), f"{folder}/round0")
@@ -40,6 +40,7 @@ def connected(edges: DataFrame, folder: str) -> DataFrame:
         above = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
         jumped = lower.join(above, "label").select("node", "was", F.least("label", "above").alias("label"))
         told = stored(jumped, f"{folder}/round{step}")
+        discard(edges.sparkSession, f"{folder}/round{step - 1}")
         if told.where("label < was").isEmpty():
             return told.select("node", "label")
         labels = told.select("node", "label")

@@ -1,19 +1,25 @@
 """One document of each group of near copies: texts of which 0.8 of the five-word shingles are shared.
 
-Two texts are linked where the Jaccard similarity of their sets of shingles (XXH64 of
-the words joined by a space; a text of fewer words is one shingle, one without words has
-none) is at least ``PARTS / WHOLE``. No pair within that is left out:
+Words are runs of anything but ASCII white space, with A-Z lower-cased; a shingle is a 64-bit hash of
+``WORDS`` words in a row (of all words, if there are fewer; a text without words has no shingle). Two texts are linked where
+the Jaccard similarity of their sets of shingles is at least ``PARTS / WHOLE``. No pair within that is left out:
 
-1. Texts with the same set are one node. SimHash fingerprints of the same shingles give a
-   first lot of candidates, those within four bits.
+1. Texts with the same set are one node. SimHash fingerprints of the same shingles (operator 4's bit-sliced search)
+   give a first lot of candidates, those within four bits.
 2. At 0.8, two sets of 64-bit fingerprints are apart by about ten bits and often more, a radius at
    which blocks select nothing. The rest is found by prefixes: in any common order of shingles, sets so
    alike share one of the first n - ceil(0.8 n) + 1. Shingles that are frequent in a sample of the texts
    are put last, which keeps the groups of a shingle small; the order changes the work and not the result.
-3. A few members of each group are compared with all of it, and links are verified on whole sets.
-   Then pairs of a group that are not yet in the same component are verified too.
+3. A few members of each group are compared with all of it. Then pairs of a group that are not
+   yet in the same component are compared too.
+4. Candidates are first compared by sketches: the shingles counted in about a quarter as many cells as there are shingles.
+   What two sketches have in common, cell by cell, is never less than what the sets share, so a pair that
+   falls short is no link. Whole sets are made from the texts of the pairs that are left.
 
 So the pairs of a large group of copies are never all made, unless its members are not linked.
+
+Null text has no words. Rows without doc_id are linked like others and stay only if their component has no doc_id.
+Repeated rows leave one. Other columns may have any names. No rows give none.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.llm import simhash
-from cellweave.llm._shared import batches_of, rows_in, stored, work_dir
+from cellweave.llm._shared import fresh, stored, work_dir
 from cellweave.llm.components import connected
 
 WORDS = 5
@@ -36,139 +42,229 @@ PARTS, WHOLE = 4, 5
 SAMPLE, FREQUENT, TOLD = 8, 3, 200_000
 #: Members of a group that are compared with all of it at first.
 PIVOTS = 3
-#: Rows (a doc_id and a hash each, or a node) up to which documents to drop or to verify are sent to all executors; beyond, both sides are shuffled.
+#: Rows (a doc_id and a hash each, or a node) up to which documents to drop or nodes to verify are sent to all executors; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of texts that are hashed at once.
+SLAB = 4 << 20
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-def shingles(text: str | None) -> np.ndarray:
-    """The set of a text's shingles in order."""
-    import xxhash
 
-    told = (text or "").encode().lower().split()
-    if not told:
-        return np.zeros(0, np.int64)
-    parts = zip(*(told[i:] for i in range(WORDS)), strict=False) if len(told) >= WORDS else [told]
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(x), 42) for x in parts], "<u8").view(np.int64))
+def _step(held: np.ndarray, word: np.ndarray) -> np.ndarray:
+    held = (held ^ word) * _MIX
+    return held ^ (held >> np.uint64(29))
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, told, node, fingerprint, text): told is a hash of the text and node one of its shingles."""
+def _hashed(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The shingles of each text, repeats included."""
     import xxhash
 
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return
+    _, places, data = texts.buffers()
+    places = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(places, places[i] + SLAB, side="right")) - 1)
+        part = _LOWER[whole[places[i] : places[j]]]
+        solid = ~_BLANK[part]
+        begins = solid.copy()  # a word begins behind white space, or where a text does
+        begins[1:] &= ~solid[:-1]
+        starts = (places[i:j] - places[i])[places[i:j] < places[j]]
+        begins[starts] = solid[starts]
+        begin = np.flatnonzero(begins)
+        upto = np.append(0, np.cumsum(solid))
+        offsets = np.append(upto[begin], upto[-1]).astype(np.int64)
+        held = np.ascontiguousarray(part[solid])
+        words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(held)]).dictionary_encode()
+        told = np.fromiter(map(xxhash.xxh64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+        word = told[words.indices.to_numpy()]
+        ends = np.searchsorted(begin, places[i + 1 : j + 1] - places[i]).tolist()
+        rolled = np.zeros(max(0, len(word) - WORDS + 1), np.uint64)
+        for k in range(WORDS):
+            rolled = _step(rolled, word[k : k + len(rolled)])
+        for lo, hi in zip([0, *ends], ends, strict=False):
+            if hi - lo >= WORDS:
+                yield rolled[lo : hi - WORDS + 1]
+            else:
+                short = np.full(min(1, hi - lo), WORDS, np.uint64)
+                for k in range(lo, hi):
+                    short = _step(short, word[k : k + 1])
+                yield short
+        i = j
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The set of each text's shingles, in order."""
+    return [np.unique(x) for x in _hashed(texts)]
+
+
+def _sketch(shingles: np.ndarray) -> bytes:
+    cells = 1 << max(3, (len(shingles) // 4).bit_length())
+    counts = np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""  # no bound
+
+
+def _bound(a: bytes, b: bytes) -> float:
+    """At least what two sets share."""
+    if not a or not b:
+        return float("inf")
+    one, two = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (a, b))
+    cells = min(len(one), len(two))
+    return int(np.minimum(one.reshape(-1, cells).sum(0), two.reshape(-1, cells).sum(0)).sum())
+
+
+def _batches(rows: Iterator[tuple], size: int, kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], names=list(kinds))
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+
+def _marks(docs: DataFrame) -> DataFrame:
+    """(doc_id, told, node, fingerprint, size, sketch, text) of each row: told is a hash of the text and node one of its shingles."""
+    kinds = {"doc_id": pa.int64(), "told": pa.int64(), "node": pa.int64(), "fingerprint": pa.int64(), "size": pa.int32(), "sketch": pa.binary(), "text": pa.string()}
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        def signed(value: int) -> int:
+            return value - (value >> 63 << 64)
+
         def rows() -> Iterator[tuple]:
-            for doc_id, told, text in rows_in(batches, "doc_id", "told", "text"):
-                node, value = xxhash.xxh64_intdigest(shingles(text).tobytes(), 42), simhash.fingerprint(text, WORDS)
-                yield doc_id, told, node - (node >> 63 << 64), value - (value >> 63 << 64), text
+            for batch in batches:
+                doc_ids, told, texts = (batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "told", "text"))
+                for doc_id, hashed, every, text in zip(doc_ids.to_pylist(), told.to_pylist(), _hashed(texts), texts, strict=True):
+                    own = np.unique(every)
+                    yield doc_id, hashed, signed(xxhash.xxh64_intdigest(own.tobytes(), 42)), signed(simhash.majority(every)), len(own), _sketch(own), text.as_py()
 
-        return batches_of(rows(), 512, doc_id="int64", told="int64", node="int64", fingerprint="int64", text="string")
+        return _batches(rows(), 512, kinds)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("told"), "text")
-    return rows.mapInArrow(mark, "doc_id bigint, told bigint, node bigint, fingerprint bigint, text string")
+    return rows.mapInArrow(mark, "doc_id bigint, told bigint, node bigint, fingerprint bigint, size int, sketch binary, text string")
 
 
-def _frequent(texts: DataFrame) -> np.ndarray:
+def _frequent(marks: DataFrame) -> np.ndarray:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(0).to_pylist()]
+            sets = shingle_sets(batch.column(0))
             if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
 
-    some = texts.where(F.pmod("node", F.lit(SAMPLE)) == 0).select("text").mapInArrow(each, "shingle bigint")
+    some = marks.where(F.pmod("node", F.lit(SAMPLE)) == 0).select("text").mapInArrow(each, "shingle bigint")
     often = some.groupBy("shingle").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "shingle").limit(TOLD)
-    return np.sort(np.array([r.shingle for r in often.select("shingle").collect()], np.int64))
+    return np.sort(often.select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64)) if not often.isEmpty() else np.zeros(0, np.uint64)
 
 
-def _prefixes(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(shingle, node, size) of the first shingles of each text."""
+def _prefixes(marks: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(shingle, node, size) of the first shingles of each node; a task tells a node once."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            sizes = [len(x) for x in sets]
-            every = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            new = []
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    new.append(i)
+            nodes, texts = (batch.column(k).take(pa.array(new, pa.int64())) for k in (0, 1))
+            sets = shingle_sets(texts)
+            sizes = np.array([len(x) for x in sets], np.int64)
+            if not sizes.sum():
+                continue
+            every = np.concatenate(sets)
             at = np.minimum(np.searchsorted(frequent, every), max(0, len(frequent) - 1))
             late = np.split(frequent[at] == every if len(frequent) else np.zeros(len(every), bool), np.cumsum(sizes)[:-1])
-            counts = [n - -(-PARTS * n // WHOLE) + 1 if n else 0 for n in sizes]
-            out = [np.concatenate([x[~z], x[z]])[:k] for x, z, k in zip(sets, late, counts, strict=True)] if sets else []
-            nodes = batch.column(0).to_numpy()
-            if len(nodes):
-                arrays = np.concatenate(out), np.repeat(nodes, counts), np.repeat(np.array(sizes, np.int32), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["shingle", "node", "size"])
+            counts = np.where(sizes > 0, sizes - -(-PARTS * sizes // WHOLE) + 1, 0)
+            out = [np.concatenate([x[~z], x[z]])[:k] for x, z, k in zip(sets, late, counts.tolist(), strict=True)]
+            arrays = np.concatenate(out).view(np.int64), np.repeat(nodes.to_numpy(), counts), np.repeat(sizes.astype(np.int32), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["shingle", "node", "size"])
 
-    return texts.select("node", "text").mapInArrow(first, "shingle bigint, node bigint, size int")
+    return marks.select("node", "text").mapInArrow(first, "shingle bigint, node bigint, size int")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, marks: DataFrame, path: str) -> DataFrame:
     """Those of the pairs (a, b) whose sets are alike enough."""
-    pairs = stored(pairs, f"{path}-pairs")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for node, text in rows_in(batches, "node", "text"):
-                yield node, shingles(text)
-
-        held: list[tuple] = []
-        kind = pa.list_(pa.int64())
-        for row in rows():
-            held.append(row)
-            if len(held) == 256:
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([s for _, s in held], kind)], names=["node", "held"])
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), pa.array([s for _, s in held], kind)], names=["node", "held"])
-
-    needed = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{path}-nodes")
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    known = stored(texts.join(needed, "node", "left_semi").select("node", "text").mapInArrow(sets, "node bigint, held array<bigint>"), f"{path}-sets")
-    one, two = (known.select(F.col("node").alias(x), F.col("held").alias(f"_{x}")) for x in "ab")
-    both, sizes = F.size(F.array_intersect("_a", "_b")), F.size("_a") + F.size("_b")
-    return stored(pairs.join(one, "a").join(two, "b").where((PARTS + WHOLE) * both >= PARTS * sizes).select("a", "b"), f"{path}-links")
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, one, two, m, n = (batch.column(i).to_pylist() for i in range(6))
+            good = [(PARTS + WHOLE) * _bound(s, t) >= PARTS * (j + k) for s, t, j, k in zip(one, two, m, n, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                one, two = (shingle_sets(part.column(k)) for k in (2, 3))
+                good = [(PARTS + WHOLE) * len(np.intersect1d(x, y, assume_unique=True)) >= PARTS * (len(x) + len(y)) for x, y in zip(one, two, strict=True)]
+                yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    told = [nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab"]
+    sketched = pairs.join(told[0], "a").join(told[1], "b").select("a", "b", "_a", "_b", "size_a", "size_b")
+    left = stored(sketched.mapInArrow(near, "a bigint, b bigint"), f"{path}-pairs")
+    needed = stored(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), f"{path}-nodes")
+    few = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    texts = stored(marks.select("node", "text").join(few, "node", "left_semi").groupBy("node").agg(F.max("text").alias("text")), f"{path}-texts")
+    one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"_{x}")) for x in "ab")
+    return stored(left.join(one, "a").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(alike, "a bigint, b bigint"), f"{path}-links")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def components(texts: DataFrame, folder: str) -> DataFrame:
-    """(node, label) of the nodes that have links; ``texts``: (node, fingerprint, text), a row a node."""
+def components(marks: DataFrame, folder: str) -> DataFrame:
+    """(node, label) of the nodes that have links; ``marks`` as :func:`_marks` has them, stored."""
     near = F.least("size", "_size") * WHOLE >= F.greatest("size", "_size") * PARTS
-    classes = stored(texts.groupBy("fingerprint").agg(F.min("node").alias("first")), f"{folder}/classes")
-    same = texts.join(classes, "fingerprint").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    nodes = stored(marks.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("size").alias("size"), F.min("sketch").alias("sketch")), f"{folder}/nodes")
+    classes = stored(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), f"{folder}/classes")
+    same = nodes.join(classes, "fingerprint").select(F.col("node").alias("x"), F.col("first").alias("y"))
     edges = stored(simhash.links(classes.select("fingerprint")), f"{folder}/close")
     ends = [classes.select(F.col("fingerprint").alias(e), F.col("first").alias(n)) for e, n in (("a", "x"), ("b", "y"))]
     close = edges.join(ends[0], "a").join(ends[1], "b").select("x", "y")
-    groups = _prefixes(texts, _frequent(texts)).withColumn("_rows", F.count("*").over(W.partitionBy("shingle"))).where("_rows > 1").drop("_rows")
+    # most shingles have one node; a window spills what it can't hold
+    rows, each = _prefixes(marks, _frequent(marks)), W.partitionBy("shingle")
+    groups = rows.withColumn("_low", F.min("node").over(each)).withColumn("_high", F.max("node").over(each)).where("_low < _high").drop("_low", "_high").distinct()
     groups = stored(groups, f"{folder}/groups")
     pivot = F.array(*(F.min_by(F.struct("node", "size"), F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)))
     pivots = groups.groupBy("shingle").agg(pivot.alias("_p")).select("shingle", F.explode("_p").alias("_p")).distinct()
     pivots = pivots.select("shingle", F.col("_p.node").alias("y"), F.col("_p.size").alias("_size"))
     stars = groups.join(pivots, "shingle").where(near).select(F.col("node").alias("x"), "y")
-    found = _verified(_ordered(same.union(close).union(stars)), texts, f"{folder}/first")
+    found = _verified(_ordered(same.union(close).union(stars)), nodes, marks, f"{folder}/first")
     labels = connected(found, f"{folder}/one")
     named = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("shingle").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("shingle")
     named = stored(named.join(mixed, "shingle", "left_semi"), f"{folder}/mixed")
     other = named.select("shingle", F.col("node").alias("y"), F.col("size").alias("_size"), F.col("label").alias("_label"))
     rest = named.join(other, "shingle").where((F.col("label") < F.col("_label")) & near).select(F.col("node").alias("x"), "y")
-    more = _verified(_ordered(rest).join(stored(found.select("a", "b"), f"{folder}/found"), ["a", "b"], "left_anti"), texts, f"{folder}/second")
+    more = _verified(_ordered(rest).join(stored(found.select("a", "b"), f"{folder}/found"), ["a", "b"], "left_anti"), nodes, marks, f"{folder}/second")
     return connected(found.union(more), f"{folder}/two")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest doc_id, one without doc_id if none has any."""
     folder = work_dir(docs.sparkSession, "near_copies")
-    marked = _nodes(docs)
-    texts = stored(marked.select("node", "fingerprint", "text").dropDuplicates(["node"]), f"{folder}/texts")
-    marks = stored(marked.select("doc_id", "told", "node"), f"{folder}/marks")
-    marks = marks.join(components(texts, folder), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marks = stored(_marks(docs), f"{folder}/marks")
+    labelled = marks.select("doc_id", "told", "node").join(components(marks, folder), "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "told")
-    best = marks.groupBy("label").agg(F.min(order).alias("_best"))
-    gone = marks.join(best, "label").where(order != F.col("_best")).select(F.col("doc_id").alias("_other"), F.col("told").alias("_gone")).distinct()
+    best = labelled.groupBy("label").agg(F.min(order).alias("best"))
+    told, other, gone_told = fresh(docs.columns, "_told", "_other", "_gone")
+    gone = labelled.join(best, "label").where(order != F.col("best")).select(F.col("doc_id").alias(other), F.col("told").alias(gone_told)).distinct()
     gone = stored(gone, f"{folder}/gone")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    told = docs.withColumn("_told", F.xxhash64("text"))
-    left = told.join(few, (told["_told"] == few["_gone"]) & told["doc_id"].eqNullSafe(few["_other"]), "left_anti")
+    rows = docs.withColumn(told, F.xxhash64("text"))
+    left = rows.join(few, (rows[told] == few[gone_told]) & rows["doc_id"].eqNullSafe(few[other]), "left_anti")
     if not marks.groupBy("doc_id", "told").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "_told"])
-    return left.drop("_told")
+        left = left.dropDuplicates(["doc_id", told])
+    return left.drop(told)

@@ -45,10 +45,16 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
         return 0
     hashed = xxhash.xxh64_intdigest
     shingles = zip(*(told[i:] for i in range(words)), strict=False) if len(told) >= words else [told]
-    values = np.array([hashed(b" ".join(x), seed) for x in shingles], "<u8")
+    return majority(np.array([hashed(b" ".join(x), seed) for x in shingles], "<u8"))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that over half of the values (unsigned 64-bit integers) have; none of no values."""
+    if not len(values):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(values), 1 << 16):
-        part = values[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        part = np.ascontiguousarray(values[at : at + (1 << 16)]).view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(values), bitorder="little").view("<u8")[0])
 
@@ -197,9 +203,9 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int = 6, cell_rows: int
         parts = F.ceil(F.coalesce(F.col("rows"), F.lit(1)) / tile_rows).cast("int")
         keyed = keyed.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fingerprint", F.lit(5)), F.col("parts")).cast("int"))
         others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-        keyed = keyed.select("fingerprint", "choice", "key", "part", others).withColumn("tile", F.least("part", "other") * 1_000_003 + F.greatest("part", "other"))
+        keyed = keyed.select("fingerprint", "choice", "key", "part", others).withColumn("tile", F.xxhash64(F.least("part", "other"), F.greatest("part", "other")))
     else:
-        keyed = keyed.withColumn("tile", F.lit(0))
+        keyed = keyed.withColumn("tile", F.lit(0).cast("bigint"))
     count = distinct.count() * len(masks)
     cells = max(1, -(-count // cell_rows))
     named = keyed.select("fingerprint", F.xxhash64("choice", "key", "tile").alias("name"))
