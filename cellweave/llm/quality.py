@@ -6,17 +6,17 @@ words stand in three-word windows that occur twice or more in it.
 Divergence: a document's histogram of character classes and its histogram of common
 words of its language (``COMMON``, and all other words as one) are compared, by the
 Jensen-Shannon distance to base 2, with the same histograms summed over all documents of
-its language that meet the base rules. Texts shorter than ``min_chars`` characters or ``divergence_words``
-words, and languages with less than ``reference_words`` words in such documents of the whole table, are not
-judged this way, since their histograms say too little.
+its language that meet the base rules, of however many there are. Texts shorter than ``min_chars`` characters are not judged by
+classes and those of under ``divergence_words`` words not by words, since their histograms say too little.
 
 Words are runs of anything but space and the characters 9 to 13. A three-word
 window is known by the XXH64 of its words, 64 bits, within one document.
 
-Null or empty text has no words and fails. A null language is a language of its
-own, for which only character classes are compared, as for any language without a
-list. Repeated rows are judged alike; no rows give none; other columns pass
-through :func:`judged` unless they have the name of a result. The work is DataFrame expressions
+Null or empty text has no words and fails. A null language counts as an empty one, for
+which only character classes are compared, as for any language without a
+list. Repeated rows are judged alike; no rows give none. Columns that are carried along may have any names: they
+stand in one structure until the end; :func:`judged` leaves out those that have the name of a result, :func:`kept_rows`
+none. The work is DataFrame expressions
 alone: one pass over the texts, a table in the shared folder, and sums by language.
 """
 
@@ -59,17 +59,19 @@ def _among(listed: list[str]) -> Callable[[Column], Column]:
 
 
 def features(docs: DataFrame, extra: list[str]) -> DataFrame:
-    """The base counts and both histograms (arrays) of each document.
+    """The ``extra`` columns as the structure ``_row``, the base counts, the length and both histograms (arrays) of each document.
 
     Each step is a projection of its own, whose columns the next one uses more
     than once, so nothing is computed twice.
     """
-    none, text = F.array().cast("array<string>"), F.coalesce(F.col("text"), F.lit(""))
-    held = docs.select(*extra, F.coalesce("lang", F.lit("")).alias("_lang"), text.alias("_text"), F.btrim(text, F.lit(SPACES)).alias("_inner"))
+    none, text = F.array().cast("array<string>"), F.coalesce(docs["text"], F.lit(""))
+    lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
+    row = F.struct(*(docs[c] for c in extra)) if extra else F.struct(F.lit(0))
+    held = docs.select(row.alias("_row"), F.coalesce(lang, F.lit("")).alias("_lang"), text.alias("_text"), F.btrim(text, F.lit(SPACES)).alias("_inner"))
     words = F.when(F.length("_inner") == 0, none).otherwise(F.split("_inner", "[\\x20\\x09-\\x0D]+"))
     # what is neither a small letter nor white space is looked at class by class
     rest = F.regexp_replace("_text", "[a-z\\x20\\x09-\\x0D]+", "")
-    held = held.select(*extra, "_lang", "_text", words.alias("_words"), rest.alias("_rest"))
+    held = held.select("_row", "_lang", "_text", words.alias("_words"), rest.alias("_rest"))
     last = F.size("_words") - 3
     window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
     windows = F.when(last < 1, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), last), window))
@@ -77,7 +79,7 @@ def features(docs: DataFrame, extra: list[str]) -> DataFrame:
     for lang, listed in COMMON.items():
         common = F.when(F.col("_lang") == lang, F.filter("_words", _among(listed))).otherwise(common)
     held = held.select(
-        *extra,
+        "_row",
         "_lang",
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
@@ -102,10 +104,11 @@ def features(docs: DataFrame, extra: list[str]) -> DataFrame:
     counted = F.transform(stop, lambda w: (F.size("_common") - F.size(F.array_remove("_common", w))).cast("bigint"))
     spaces = F.col("_length") - F.col("word_chars")
     return held.select(
-        *extra,
+        "_row",
         "_lang",
         *BASE[:-1],
         F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
+        "_length",
         F.array(F.col("word_chars") - F.col("_other"), spaces, *(F.col(f"_{name}") for name in CLASSES)).alias("_chars"),
         F.concat(counted, F.array(F.col("n_words") - F.size("_common"))).alias("_told"),
     )
@@ -119,33 +122,33 @@ def distance(p: Column, q: Column) -> Column:
     return F.when((total_p > 0) & (total_q > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, b: a + b))))
 
 
-def judged(
-    docs: DataFrame,
-    extra: list[str],
-    min_words: int = 50,
-    min_chars: int = 200,
-    divergence_words: int = 100,
-    reference_words: int = 2000,
-    class_distance: float = 0.29,
-    word_distance: float = 0.295,
-) -> DataFrame:
-    """``extra`` columns, the base counts, both distances, base_failed and kept."""
-    spark = docs.sparkSession
-    if "lang" not in docs.columns:
-        docs = docs.withColumn("lang", F.lit(None).cast("string"))
-    folder = work_dir(spark, "quality")
+def _judged(docs: DataFrame, extra: list[str], min_words: int, min_chars: int, divergence_words: int, class_distance: float, word_distance: float) -> DataFrame:
+    folder = work_dir(docs.sparkSession, "quality")
     held = stored(features(docs, extra), f"{folder}/features")
     size = len(CLASSES) + 2
     most = max(map(len, COMMON.values())) + 1
     at = [F.coalesce(F.sum(F.get("_chars", F.lit(i))), F.lit(0)).cast("double") for i in range(size)]
     words = [F.sum(F.get("_told", F.lit(i))).cast("double") for i in range(most)]
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    references = held.where(~failed).groupBy("_lang").agg(F.array(*at).alias("_chars_ref"), F.filter(F.array(*words), lambda x: x.isNotNull()).alias("_told_ref"), F.sum("n_words").alias("_ref_words"))
+    references = held.where(~failed).groupBy("_lang").agg(F.array(*at).alias("_chars_ref"), F.filter(F.array(*words), lambda x: x.isNotNull()).alias("_told_ref"))
     references = stored(references, f"{folder}/references")
     compared = held.join(F.broadcast(references) if references.count() <= BROADCAST_LANGUAGES else references, "_lang", "left")
-    known = F.col("_ref_words") >= reference_words
-    by_class = F.when(known & (F.col("n_words") + F.col("word_chars") >= min_chars), distance(F.transform("_chars", lambda x: x.cast("double")), F.col("_chars_ref")))
-    by_word = F.when(known & (F.col("n_words") >= divergence_words) & (F.size("_told") > 1), distance(F.transform("_told", lambda x: x.cast("double")), F.col("_told_ref")))
-    compared = compared.select(*extra, *BASE, by_class.alias("class_distance"), by_word.alias("word_distance"), failed.alias("base_failed"))
+    by_class = F.when(F.col("_length") >= min_chars, distance(F.transform("_chars", lambda x: x.cast("double")), F.col("_chars_ref")))
+    by_word = F.when((F.col("n_words") >= divergence_words) & (F.size("_told") > 1), distance(F.transform("_told", lambda x: x.cast("double")), F.col("_told_ref")))
+    compared = compared.select("_row", *BASE, by_class.alias("class_distance"), by_word.alias("word_distance"), failed.alias("base_failed"))
     close = (F.coalesce("class_distance", F.lit(0.0)) <= class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= word_distance)
     return compared.withColumn("kept", ~F.col("base_failed") & close)
+
+
+def judged(docs: DataFrame, extra: list[str], min_words: int = 50, min_chars: int = 200, divergence_words: int = 100, class_distance: float = 0.29, word_distance: float = 0.295) -> DataFrame:
+    """``extra`` columns, the base counts, both distances, base_failed and kept."""
+    results = [*BASE, "class_distance", "word_distance", "base_failed", "kept"]
+    carried = [c for c in extra if c.lower() not in results]
+    found = _judged(docs, carried, min_words, min_chars, divergence_words, class_distance, word_distance)
+    return found.select(*(F.col("_row").getField(c).alias(c) for c in carried), *results)
+
+
+def kept_rows(docs: DataFrame, min_words: int = 50, min_chars: int = 200, divergence_words: int = 100, class_distance: float = 0.29, word_distance: float = 0.295) -> DataFrame:
+    """The rows of ``docs`` that are kept, as they were."""
+    found = _judged(docs, docs.columns, min_words, min_chars, divergence_words, class_distance, word_distance)
+    return found.where("kept").select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -117,15 +117,15 @@ with texts as (
     case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2)) as d
   from shares where p is not null and q is not null group by rid, kind
 ), verdict as (
-  select t.*, coalesce(sum(n_words) filter (where not base_failed) over (partition by lang), 0) >= 2000 as known, c.d as by_class, w.d as by_word
+  select t.*, c.d as by_class, w.d as by_word
   from based t
   left join distances c on c.rid = t.rid and c.kind = 'class'
   left join distances w on w.rid = t.rid and w.kind = 'word'
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        base_failed, not base_failed
-       and not (known and n_words + word_chars >= 200 and coalesce(by_class, 0) > {limits["class"]})
-       and not (known and n_words >= 100 and coalesce(by_word, 0) > {limits["word"]}) as kept
+       and not (n_chars >= 200 and coalesce(by_class, 0) > {limits["class"]})
+       and not (n_words >= 100 and coalesce(by_word, 0) > {limits["word"]}) as kept
 from verdict
 """
 

@@ -1,19 +1,19 @@
 """Secret scans by a trigram inverted index.
 
 Each rule's regular expression gives a Boolean query over trigrams
-(:mod:`cellweave.llm.trigrams`). The index holds, for each trigram that any query
-names, the doc_ids whose lower-cased text has it, ordered by trigram and
-doc_id, as a stored table. For a rule the postings of its trigrams are
-intersected; documents that satisfy an alternative are candidates, and the expression
-itself is tried on the whole text of these alone. A rule without mandatory trigrams
-is tried on all texts.
+(:mod:`cellweave.llm.trigrams`). The index is a stored table with a folder for each trigram
+that any query names, which holds its posting list: the doc_ids whose lower-cased text has it. An alternative
+of a rule's query looks up the lists of its trigrams, and no others are read; its candidates are the documents that
+stand in all of them. The expression itself is tried on the whole text of the rule's candidates alone. A rule without
+mandatory trigrams is tried on all texts.
 
 Spans are in code points, end exclusive, leftmost and non-overlapping for each rule, and
 matches with too short a value are dropped after that. Where a match begins is the
 sum of the lengths of what a split by the expression leaves before it and of earlier matches.
 
 Null text is empty. Rows that share a doc_id share its postings, and each is tried by
-itself; so are rows without doc_id. No rows give none. The work is DataFrame expressions alone.
+itself; so are rows without doc_id. No rows give none. Other columns may have any names; they are carried in one
+structure and come back as they were. The work is DataFrame expressions alone.
 """
 
 from __future__ import annotations
@@ -74,33 +74,27 @@ class TrigramIndex:
         self.grams = sorted({g for q in self.queries for option in q for g in option})
 
     def build(self, docs: DataFrame) -> None:
-        """(gram, doc_id) for each trigram of a text, in order."""
-        low = docs.select("doc_id", F.lower("text").alias("_low"))
-        there = F.array_compact(F.array(*(F.when(F.contains("_low", F.lit(g)), F.lit(i)) for i, g in enumerate(self.grams))))
+        """(doc_id, gram) for each trigram of a text that a query names, a folder per gram; ``docs``: doc_id and text."""
+        low = docs.select("doc_id", F.lower("text").alias("low"))
+        there = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(self.grams))))
         rows = low.select("doc_id", F.explode(there).alias("gram"))
-        self.postings = stored(rows.repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id"), f"{self.folder}/postings")
+        # a list is dealt to a few tasks, so that none writes all of a long one and each folder has few files
+        few = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+        self.postings = stored(rows.repartition("gram", few), f"{self.folder}/postings", "gram")
+
+    def posting_lists(self, grams: list[str]) -> DataFrame:
+        """(doc_id, gram) of these trigrams; the folders of others are not read."""
+        return self.postings.where(F.col("gram").isin([self.grams.index(g) for g in grams])).distinct()
 
     def candidates(self) -> DataFrame:
-        """(doc_id, _rules): bit i for each rule i whose query the document satisfies."""
-        masks = []
-        for w in range(0, len(self.grams), 62):
-            bit = F.expr(f"shiftleft(1L, cast(gram - {w} as int))")
-            masks.append(F.bit_or(F.when((F.col("gram") >= w) & (F.col("gram") < w + 62), bit).otherwise(F.lit(0).cast("bigint"))).alias(f"m{w // 62}"))
-        found = self.postings.groupBy("doc_id").agg(*masks) if masks else self.postings.select("doc_id")
-        bits = F.lit(0)
-        for i, query in enumerate(self.queries):
-            if query == ANY:
-                continue
-            satisfied = F.lit(False)
-            for option in query:
-                have = F.lit(True)
-                for w in range(len(masks)):
-                    need = sum(1 << (n - 62 * w) for n in map(self.grams.index, option) if n // 62 == w)
-                    if need:
-                        have = have & (F.col(f"m{w}").bitwiseAND(F.lit(need)) == need)
-                satisfied = satisfied | have
-            bits = bits + F.when(satisfied, F.lit(1 << i)).otherwise(F.lit(0))
-        return found.select("doc_id", bits.alias("_rules")).where("_rules > 0")
+        """(doc_id, rules): bit i for each rule i whose query the document satisfies."""
+        options = [(i, n, option) for i, query in enumerate(self.queries) for n, option in enumerate(query)]
+        needs = [(self.grams.index(g), i, n, len(option)) for i, n, option in options for g in option]
+        wanted = self.postings.sparkSession.createDataFrame(needs, "gram int, rule int, option int, size int")  # a row per trigram of a query
+        lists = self.posting_lists(sorted({g for _, _, option in options for g in option}))
+        # the intersection of an alternative's lists: documents that stand in as many as there are
+        held = lists.join(F.broadcast(wanted), "gram").groupBy("doc_id", "rule", "option", "size").agg(F.count("*").alias("n")).where("n = size")
+        return held.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
 def _running(values: Column, block: int = 64) -> Column:
@@ -134,25 +128,30 @@ def _spans(number: int, rule: Rule, text: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(matches.alias("matches"), values.alias("values"), between.alias("between"))), placed), F.lit(0))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """``docs`` with text not null and a column ``secrets``: array<struct<start, kind, end>>, ordered; kind is the rule's place in ``rules``."""
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(row, text, secrets): the whole row of ``docs`` as a structure, its text not null, its spans."""
     spark = docs.sparkSession
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     folder = work_dir(spark, "secrets")
     index = TrigramIndex(rules, folder)
-    index.build(docs)
-    found = stored(index.candidates(), f"{folder}/candidates").select(F.col("doc_id").alias("_id"), "_rules")
+    index.build(held.select("doc_id", "text"))
+    found = stored(index.candidates(), f"{folder}/candidates").select(F.col("doc_id").alias("id"), "rules")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left").drop("_id")
+    joined = held.join(found, held["doc_id"].eqNullSafe(found["id"]), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     hits = []
     for i, (rule, query) in enumerate(zip(rules, index.queries, strict=True)):
         tried = F.col("text").rlike(rule.pattern)
         if query != ANY:
-            tried = (F.coalesce("_rules", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0) & tried
+            tried = (F.coalesce("rules", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0) & tried
         hits.append(F.when(tried, _spans(i, rule, F.col("text"))).otherwise(none))
-    return joined.withColumn("secrets", F.sort_array(F.concat(*hits))).drop("_rules")
+    return joined.select("row", "text", F.sort_array(F.concat(*hits)).alias("secrets"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+    """doc_id, text (not null) and ``secrets``: array<struct<start, kind, end>>, ordered; kind is the rule's place in ``rules``."""
+    return _scanned(docs, rules).select("row.doc_id", "text", "secrets")
 
 
 def told(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -178,7 +177,7 @@ def _of(kind: int):
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = BASE + WHOLE) -> DataFrame:
     """``docs`` with each stretch of text under any span replaced by ``mark``."""
-    found = scan(docs, rules)
+    found = _scanned(docs, rules)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(a: Column, s: Column) -> Column:
@@ -188,4 +187,4 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] =
 
     rest = lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text")))
     text = F.when(F.size("secrets") == 0, F.col("text")).otherwise(F.aggregate("secrets", start, step, rest))
-    return found.withColumn("_clean", text).withColumn("text", F.col("_clean")).drop("_clean", "secrets")
+    return found.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

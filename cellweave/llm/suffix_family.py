@@ -15,19 +15,18 @@ documents.
    ones of a run once. Keys that stand in many runs (a passage that very many
    documents share) are dealt by single strings instead, so that a bucket never
    holds all contexts of such a passage.
-4. In a bucket, each new batch of stretches gets a suffix array (its suffixes in the
-   order of their first ``length`` bytes) with the smallest doc_id of each string.
-   It is merged with the level of its size, and so on upwards, so sizes grow
-   geometrically and each suffix is merged a logarithmic number of times. Batches are then
-   scanned against the levels: a string whose smallest doc_id is below a
-   document's own is removed there. Stretches that are equal as a whole need no such
-   scan, and neither do those whose key no different stretch has.
+4. In a bucket, the distinct stretches go to a logarithmic family of suffix arrays batch by batch, in ascending order of the
+   smallest doc_id that has them. A new batch gets its suffix array (the places of its strings in its bytes, in the order
+   of the strings, and the smallest doc_id of each) and is merge-scanned against each level that stands, for strings
+   that an earlier document has. Then it is merged with the level of its size, and so on upwards, so sizes grow
+   geometrically and each suffix is merged a logarithmic number of times. What a scan finds for a string, the smallest doc_id
+   that has it, is compared with the doc_id of each place where its stretch stands.
 5. Each file's removed stretches come back to the task that reads this file.
 
 Keys are a filter and may collide; strings themselves are compared as bytes.
 Rows that share a doc_id do not remove each other's bytes. A row without doc_id is left whole
 and removes nothing. Null text is empty. No rows give no rows. Columns carried along may have any
-names but those of the results.
+names, but for :func:`remove_repeats` those of its results.
 """
 
 from __future__ import annotations
@@ -35,6 +34,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm._shared import opened, rows_in, work_dir
+from cellweave.llm._shared import fresh, opened, rows_in, stored, work_dir
 
 GRAM, RUN_BYTES, STEP = 16, 4 << 20, 1 << 18
 RESULTS = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -107,9 +107,9 @@ def runs_of(uri: str, columns: list[str]) -> Iterator[tuple[int, int, pa.Table]]
             yield number, first, pa.Table.from_batches(held)
 
 
-def _loaded(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _loaded(table: pa.Table, own: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, ends, rows, ids) of the documents of a run that have an id and text."""
-    texts, ids = table["_bytes"].to_pylist(), table["_doc"].to_pylist()
+    ids, texts = (table[c].to_pylist() for c in own)
     rows = [i for i, (d, t) in enumerate(zip(ids, texts, strict=True)) if d is not None and t]
     data = np.frombuffer(b"".join(texts[i] for i in rows), np.uint8)
     return data, np.cumsum([len(texts[i]) for i in rows], dtype=np.int64), np.array(rows, np.int64), np.array([ids[i] for i in rows], np.int64)
@@ -126,13 +126,6 @@ def _from_six(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _with_rivals(texts: list[bytes], length: int) -> np.ndarray:
-    """Which of the stretches share their key with a different one; no string of the others stands elsewhere."""
-    heads = np.concatenate([_keys(np.frombuffer(b"".join(t[:length] for t in texts[at : at + 4096]), np.uint8), length)[::length] for at in range(0, len(texts), 4096)])
-    _, inverse, counts = np.unique(heads, return_inverse=True, return_counts=True)
-    return np.flatnonzero(counts[inverse] > 1)
-
-
 def _small(data: bytes) -> bytes:
     return zstandard.compress(data, 1)
 
@@ -141,49 +134,63 @@ def _whole(data: bytes) -> bytes:
     return zstandard.decompress(data)
 
 
+class Level(NamedTuple):
+    """A suffix array: the places in ``data`` of its distinct strings, in their order, and the smallest doc_id of each."""
+
+    data: np.ndarray
+    at: np.ndarray
+    docs: np.ndarray
+
+
 class SuffixFamily:
-    """Levels of suffix arrays, each with its distinct strings in order and their smallest doc_ids."""
+    """Suffix arrays over the first ``length`` bytes of suffixes, in levels whose sizes grow geometrically."""
 
-    def __init__(self, length: int):
-        self.kind, self.levels = f"S{length}", {}
+    def __init__(self, length: int, block: int = 1 << 16):
+        self.length, self.block, self.levels = length, block, {}
 
-    def add(self, strings: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Give a batch its suffix array, then merge levels of one size class until none is shared; the batch's distinct strings, and which each is."""
-        level, which = self._array(strings, docs)
-        told = level[0], which
-        while (size := max(1, len(level[0])).bit_length()) in self.levels:
-            level = self._merged(self.levels.pop(size), level)
-        self.levels[size] = level
-        return told
+    def _strings(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        view = np.lib.stride_tricks.sliding_window_view(data, self.length)[at]
+        return np.ascontiguousarray(view).view(f"S{self.length}").ravel()
 
-    def _array(self, strings: np.ndarray, docs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-        order = np.argsort(strings, kind="stable")  # of two levels in order this is one merge
+    def _array(self, data: np.ndarray, at: np.ndarray, docs: np.ndarray) -> tuple[Level, np.ndarray, np.ndarray]:
+        """(suffix array, its strings, which of them each of ``at`` is)."""
+        strings = self._strings(data, at)
+        order = np.argsort(strings, kind="stable")  # of two arrays in order this is one merge
         strings = strings[order]
         new = np.ones(len(strings), bool)
         new[1:] = strings[1:] != strings[:-1]
         first = np.flatnonzero(new)
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        return (strings[first], np.minimum.reduceat(docs[order], first) if len(first) else docs[order]), which
-
-    def _merged(self, a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
-        return self._array(np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1])))[0]
-
-    def close(self) -> None:
-        """Merge all levels, from the smallest up, for the scans that follow."""
-        level = None
-        for size in sorted(self.levels):
-            level = self.levels[size] if level is None else self._merged(self.levels[size], level)
-        self.levels = {} if level is None else {0: level}
-
-    def smallest(self, strings: np.ndarray) -> np.ndarray:
-        """The smallest doc_id that has each string (the largest integer: none), over all levels; quickest for strings in order."""
-        best = np.full(len(strings), np.iinfo(np.int64).max)
-        for known, docs in self.levels.values():
-            at = np.minimum(np.searchsorted(known, strings), len(known) - 1)
-            hit = known[at] == strings
-            best[hit] = np.minimum(best[hit], docs[at[hit]])
-        return best
+        return Level(data, at[order[first]], np.minimum.reduceat(docs[order], first)), strings[first], which
+
+    def _scan(self, level: Level, strings: np.ndarray, best: np.ndarray) -> None:
+        """Go through the level and ``strings`` (in order) side by side, a block of the level at a time; lower ``best`` where they meet."""
+        done = 0
+        for lo in range(0, len(level.at), self.block):
+            known = self._strings(level.data, level.at[lo : lo + self.block])
+            upto = int(np.searchsorted(strings, known[-1], side="right"))
+            if upto > done:
+                mine = strings[done:upto]
+                at = np.searchsorted(known, mine)
+                hit = known[at] == mine
+                best[done:upto][hit] = np.minimum(best[done:upto][hit], level.docs[lo : lo + self.block][at[hit]])
+            done = upto
+
+    def add(self, data: np.ndarray, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Take in a batch of strings; the smallest doc_id so far, this batch's own included, that has each.
+
+        With batches in ascending order of doc_ids this is the smallest of all.
+        """
+        level, strings, which = self._array(data, at, docs)
+        best = level.docs.copy()
+        for standing in self.levels.values():
+            self._scan(standing, strings, best)
+        while (size := len(level.at).bit_length()) in self.levels:
+            other = self.levels.pop(size)
+            level = self._array(np.concatenate((other.data, level.data)), np.concatenate((other.at, level.at + len(other.data))), np.concatenate((other.docs, level.docs)))[0]
+        self.levels[size] = level
+        return best[which]
 
 
 class SuffixDedup:
@@ -195,25 +202,26 @@ class SuffixDedup:
         self.spark, self.length, self.hot_runs, self.bucket_bytes, self.batch_strings = spark, length, hot_runs, bucket_bytes, batch_strings
 
     def write(self, docs: DataFrame, folder: str) -> None:
-        docs = docs.select("*", F.col("doc_id").cast("bigint").alias("_doc"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_bytes"))
-        docs.write.option("compression", "zstd").parquet(folder)
-        texts = self.spark.read.schema(docs.schema).parquet(folder)
-        self.files = sorted(texts.inputFiles())
-        total = texts.agg(F.sum(F.octet_length("_bytes").cast("bigint"))).first()[0] or 0
+        self.own = fresh(docs.columns, "_doc", "_bytes")
+        docs = docs.select("*", docs["doc_id"].cast("bigint").alias(self.own[0]), F.coalesce(docs["text"].cast("binary"), F.lit(b"")).alias(self.own[1]))
+        docs.write.option("compression", "zstd").option("maxRecordsPerFile", 1 << 20).parquet(f"{folder}/texts")
+        texts = self.spark.read.schema(docs.schema).parquet(f"{folder}/texts")
+        self.files = stored(texts.select(F.input_file_name().alias("file")).distinct(), f"{folder}/files")
+        self.count = max(1, self.files.count())
+        total = texts.agg(F.sum(F.octet_length(self.own[1]).cast("bigint"))).first()[0] or 0
         self.bits = max(2, (int(total) // self.bucket_bytes).bit_length())
 
     def each_file(self) -> DataFrame:
-        frame = self.spark.createDataFrame(list(enumerate(self.files)), "file int, uri string")
-        return frame.repartition(max(1, len(self.files)))
+        return self.files.repartition(self.count)
 
     def shared_keys(self) -> DataFrame:
         """(file, run, keys, hot) of the keys that stand in more than one document."""
-        bits, length, hot_runs = self.bits, self.length, self.hot_runs
+        bits, length, hot_runs, own = self.bits, self.length, self.hot_runs, self.own
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for file, uri in rows_in(batches, "file", "uri"):
-                for run, _, table in runs_of(uri, ["_doc", "_bytes"]):
-                    data, ends, _, ids = _loaded(table)
+            for (file,) in rows_in(batches, "file"):
+                for run, _, table in runs_of(file, own):
+                    data, ends, _, ids = _loaded(table, own)
                     parts = [(k, ids[d]) for k, d, _, _ in stretches(data, ends, length)]
                     if not parts:
                         continue
@@ -228,7 +236,7 @@ class SuffixDedup:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([b for b, _, _ in found], pa.int32()),
-                            pa.array([file] * len(found), pa.int32()),
+                            pa.array([file] * len(found)),
                             pa.array([run] * len(found), pa.int32()),
                             pa.array([_six(keys[lo:hi]) for _, lo, hi in found], pa.binary()),
                             pa.array([np.packbits(several[lo:hi]).tobytes() for _, lo, hi in found], pa.binary()),
@@ -249,30 +257,30 @@ class SuffixDedup:
                 if mine.any():
                     out.append((file, run, _six(k[mine]), hot[at : at + len(k)][mine].astype(np.uint8).tobytes()))
                 at += len(k)
-            return pa.Table.from_pylist([dict(zip(("file", "run", "keys", "hot"), r, strict=True)) for r in out], pa.schema([("file", pa.int32()), ("run", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())]))
+            return pa.Table.from_pylist([dict(zip(("file", "run", "keys", "hot"), r, strict=True)) for r in out], pa.schema([("file", pa.string()), ("run", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())]))
 
-        sent = self.each_file().mapInArrow(send, "bucket int, file int, run int, keys binary, flags binary")
-        return sent.groupBy("bucket").applyInArrow(report, "file int, run int, keys binary, hot binary")
+        sent = self.each_file().mapInArrow(send, "bucket int, file string, run int, keys binary, flags binary")
+        return sent.groupBy("bucket").applyInArrow(report, "file string, run int, keys binary, hot binary")
 
     def candidates(self, shared: DataFrame) -> DataFrame:
         """The stretches with shared keys, packed by (bucket, file, run): their bytes, and the places where they stand."""
-        files, bits, length = self.files, self.bits, self.length
-        kinds = pa.schema([("bucket", pa.int32()), ("file", pa.int32()), ("run", pa.int32()), ("sizes", pa.binary()), ("strings", pa.binary()), ("entry", pa.binary()), ("doc", pa.binary()), ("row", pa.binary()), ("start", pa.binary())])
+        bits, length, own = self.bits, self.length, self.own
+        kinds = pa.schema([("bucket", pa.int32()), ("file", pa.string()), ("run", pa.int32()), ("sizes", pa.binary()), ("strings", pa.binary()), ("entry", pa.binary()), ("doc", pa.binary()), ("row", pa.binary()), ("start", pa.binary())])
 
         def pick(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
 
-            by_run, file = defaultdict(list), -1
+            by_run, file = defaultdict(list), ""
             for file, run, keys, hot in rows_in(group, "file", "run", "keys", "hot"):
                 by_run[run].append((_from_six(keys), np.frombuffer(hot, np.uint8)))
-            for run, first_row, table in runs_of(files[file], ["_doc", "_bytes"]):
+            for run, first_row, table in runs_of(file, own):
                 if run not in by_run:
                     continue
                 out = []
                 known, hot = (np.concatenate(x) for x in zip(*by_run[run], strict=True))
                 order = np.argsort(known)
                 known, hot = known[order], hot[order]
-                data, ends, rows, ids = _loaded(table)
+                data, ends, rows, ids = _loaded(table, own)
                 raw, begins = data.tobytes(), np.append(0, ends[:-1])
                 buckets: dict[int, tuple[dict, list, list, list, list]] = defaultdict(lambda: ({}, [], [], [], []))
 
@@ -300,17 +308,17 @@ class SuffixDedup:
                     out.append((bucket, file, run, *map(_small, (sizes, b"".join(entries), entry, docs, at_row, at))))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
-        return shared.groupBy("file").applyInArrow(pick, "bucket int, file int, run int, sizes binary, strings binary, entry binary, doc binary, row binary, start binary")
+        return shared.groupBy("file").applyInArrow(pick, "bucket int, file string, run int, sizes binary, strings binary, entry binary, doc binary, row binary, start binary")
 
     def removals(self, sent: DataFrame) -> DataFrame:
         """(file, rows, starts, sizes): removed stretches, packed."""
         length, batch_strings = self.length, self.batch_strings
-        kinds = pa.schema([("file", pa.int32()), ("rows", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary())])
+        kinds = pa.schema([("file", pa.string()), ("rows", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary())])
 
         def scan(table: pa.Table) -> pa.Table:
             table = table.sort_by([("file", "ascending"), ("run", "ascending")])
             seen: dict[bytes, int] = {}
-            texts, places = [], []
+            texts, places, files = [], [], {}
             for file, *packed in zip(*(table[c].to_pylist() for c in ("file", "sizes", "strings", "entry", "doc", "row", "start")), strict=True):
                 sizes, strings, entry, doc, row, start = map(_whole, packed)
                 ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
@@ -322,11 +330,14 @@ class SuffixDedup:
                         texts.append(text)
                     known.append(i)
                 entry = np.array(known, np.int64)[np.frombuffer(entry, "<u4")]
-                places.append((np.full(len(entry), file), entry, np.frombuffer(doc, "<i8"), np.frombuffer(row, "<u4"), np.frombuffer(start, "<u4")))
+                places.append((np.full(len(entry), files.setdefault(file, len(files))), entry, np.frombuffer(doc, "<i8"), np.frombuffer(row, "<u4"), np.frombuffer(start, "<u4")))
+            del seen
             file, entry, doc, row, start = (np.concatenate(x) for x in zip(*places, strict=True))
+            by_entry = np.argsort(entry, kind="stable")
+            file, entry, doc, row, start = (x[by_entry] for x in (file, entry, doc, row, start.astype(np.int64)))
+            begin = np.searchsorted(entry, np.arange(len(texts) + 1))  # an entry's places
             sizes = np.array([len(t) for t in texts], np.int64)
-            lows = np.full(len(texts), np.iinfo(np.int64).max)
-            np.minimum.at(lows, entry, doc)
+            count, lows = sizes - length + 1, np.minimum.reduceat(doc, begin[:-1])
             out: dict[int, list[tuple]] = defaultdict(list)
 
             def remove(place: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
@@ -334,69 +345,60 @@ class SuffixDedup:
                     hit = file[place] == f
                     out[f].append((row[place][hit], at[hit], size[hit]))
 
-            # a whole stretch that an earlier document has too
-            again = np.flatnonzero(doc > lows[entry])
-            remove(again, start[again].astype(np.int64), sizes[entry[again]])
-            # strings of the earliest copy of each, against other stretches with its key
-            rivals = _with_rivals(texts, length)
-            first = np.flatnonzero(doc == lows[entry])
-            first = first[np.argsort(entry[first], kind="stable")]
-            offsets = np.searchsorted(entry[first], np.arange(len(texts) + 1))
-            family, count = SuffixFamily(length), sizes - length + 1
-            upto = np.cumsum(count[rivals])
-            cuts = [0]
-            while cuts[-1] < len(rivals):
-                before = upto[cuts[-1] - 1] if cuts[-1] else 0
-                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(upto, before + batch_strings, side="right"))))
-
-            def batch(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                """The strings of some stretches, the stretch of each, and its place in it."""
-                mine = rivals[lo:hi]
+            family, order = SuffixFamily(length), np.argsort(lows, kind="stable")
+            upto = np.cumsum(count[order])
+            done = 0
+            while done < len(order):
+                stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + batch_strings, side="right")))
+                mine = order[done:stop]
+                done = stop
+                n, first = count[mine], np.cumsum(sizes[mine]) - sizes[mine]
+                string = np.cumsum(n) - n
                 data = np.frombuffer(b"".join(texts[i] for i in mine.tolist()), np.uint8)
-                begin, n = np.cumsum(sizes[mine]) - sizes[mine], count[mine]
-                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                view = np.lib.stride_tricks.sliding_window_view(data, length)[np.repeat(begin, n) + inside]
-                return np.ascontiguousarray(view).view(family.kind).ravel(), np.repeat(mine, n), inside
-
-            scans = []
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                strings, text, inside = batch(lo, hi)
-                scans.append((*family.add(strings, lows[text]), text, inside))
-            family.close()
-            for strings, which, text, inside in scans:
-                gone = family.smallest(strings)[which] < lows[text]
-                head = np.flatnonzero(gone & np.append(True, ~gone[:-1] | (text[1:] != text[:-1])))
-                tail = np.flatnonzero(gone & np.append(~gone[1:] | (text[1:] != text[:-1]), True))
-                which, n = text[head], tail - head + length
-                times = offsets[which + 1] - offsets[which]
-                span = np.repeat(np.arange(len(head)), times)
-                place = first[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + offsets[which][span]]
-                remove(place, start[place].astype(np.int64) + inside[head][span], n[span])
-            told = [(f, *(np.concatenate(x).astype("<u4").tobytes() for x in zip(*parts, strict=True))) for f, parts in out.items()]
+                best = family.add(data, np.repeat(first - string, n) + np.arange(n.sum()), np.repeat(lows[mine], n))
+                most, least = np.maximum.reduceat(best, string), np.minimum.reduceat(best, string)
+                times = begin[mine + 1] - begin[mine]
+                which = np.repeat(np.arange(len(mine)), times)
+                place = np.repeat(begin[mine] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                # a place loses the strings that the family knows from a smaller doc_id: all of its stretch, or some
+                whole = most[which] < doc[place]
+                remove(place[whole], start[place[whole]], sizes[mine[which[whole]]])
+                some = np.flatnonzero(~whole & (least[which] < doc[place]))
+                for at in range(0, len(some), 1 << 14):
+                    w, p = which[some[at : at + (1 << 14)]], place[some[at : at + (1 << 14)]]
+                    inside = np.arange(n[w].sum()) - np.repeat(np.cumsum(n[w]) - n[w], n[w])
+                    of = np.repeat(np.arange(len(w)), n[w])
+                    gone = best[string[w][of] + inside] < doc[p][of]
+                    edge = of[1:] != of[:-1]
+                    head = np.flatnonzero(gone & np.append(True, ~gone[:-1] | edge))
+                    tail = np.flatnonzero(gone & np.append(~gone[1:] | edge, True))
+                    remove(p[of[head]], start[p[of[head]]] + inside[head], tail - head + length)
+            names = list(files)
+            told = [(names[f], *(np.concatenate(x).astype("<u4").tobytes() for x in zip(*parts, strict=True))) for f, parts in out.items()]
             return pa.Table.from_arrays([pa.array([r[i] for r in told], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
-        return sent.groupBy("bucket").applyInArrow(scan, "file int, rows binary, starts binary, sizes binary")
+        return sent.groupBy("bucket").applyInArrow(scan, "file string, rows binary, starts binary, sizes binary")
 
     def cleaned(self, removed: DataFrame, carry: list[T.StructField], results: bool, as_text: bool) -> DataFrame:
         """The rows of all files: the carried columns, of which ``text`` is what is left if ``as_text``, and the results."""
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        files, names = self.files, [f.name for f in carry]
+        names, held_as = [f.name for f in carry], self.own[1]
         every = self.each_file().select("file", *(F.lit(b"").alias(c) for c in ("rows", "starts", "sizes")))
         schema = T.StructType([*carry, *(T._parse_datatype_string(RESULTS).fields if results else [])])
         arrow = to_arrow_schema(schema)
 
         def clean(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            file, held = -1, []
+            file, held = "", []
             for file, *told in rows_in(group, "file", "rows", "starts", "sizes"):
                 held.append(told)
             rows, starts, sizes = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in zip(*held, strict=True))
             order = np.lexsort((starts, rows))
             rows, starts, ends = rows[order], starts[order], (starts + sizes)[order]
-            for _, first, part in runs_of(files[file], list(dict.fromkeys([*names, "_bytes"]))):
+            for _, first, part in runs_of(file, [*names, held_as]):
                 told, texts = [], []
                 at = np.searchsorted(rows, np.arange(first, first + len(part) + 1))
-                for i, text in enumerate(part["_bytes"].to_pylist()):
+                for i, text in enumerate(part[held_as].to_pylist()):
                     spans = merged(starts[at[i] : at[i + 1]], ends[at[i] : at[i + 1]])
                     kept, done = [], 0
                     for lo, hi in spans:
@@ -425,16 +427,16 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 def _cleaned(docs: DataFrame, length: int, carry: list[str], results: bool, as_text: bool, hot_runs: int, bucket_bytes: int, batch_strings: int) -> DataFrame:
     spark = docs.sparkSession
     work = SuffixDedup(spark, length, hot_runs, bucket_bytes, batch_strings)
-    work.write(docs, f"{work_dir(spark, 'suffix')}/texts")
+    work.write(docs, work_dir(spark, "suffix"))
     found = work.removals(work.candidates(work.shared_keys()))
     return work.cleaned(found, [docs.schema[c] for c in carry], results, as_text)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = ("doc_id",), hot_runs: int = 512, bucket_bytes: int = 8 << 20, batch_strings: int = 1 << 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = ("doc_id",), hot_runs: int = 512, bucket_bytes: int = 8 << 20, batch_strings: int = 1 << 17) -> DataFrame:
     """The ``carry`` columns of each row, n_bytes, n_removed, n_spans and kept_sha256."""
     return _cleaned(docs, length, list(carry), True, False, hot_runs, bucket_bytes, batch_strings)
 
 
-def without_repeats(docs: DataFrame, length: int = 50, hot_runs: int = 512, bucket_bytes: int = 8 << 20, batch_strings: int = 1 << 16) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, hot_runs: int = 512, bucket_bytes: int = 8 << 20, batch_strings: int = 1 << 17) -> DataFrame:
     """``docs`` with the repeats taken out of ``text``; a character that has lost some of its bytes goes as a whole."""
     return _cleaned(docs, length, docs.columns, False, True, hot_runs, bucket_bytes, batch_strings)

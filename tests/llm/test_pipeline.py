@@ -111,3 +111,17 @@ def test_repeated_ids_with_other_texts(spark):
     rows = [(1, same), (5, same), (5, " ".join(f"other{i}" for i in range(90)))]
     frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == [rows[0], rows[2]]
+
+
+@pytest.mark.parametrize("names", [["kept", "n_words", "class_distance", "_lang", "_row"], ["secrets", "_rules", "_id", "_clean", "row", "rules", "gram"], ["_bytes", "_doc", "file", "start", "rows"], ["_told", "_other", "node", "label", "place", "n_bytes", "offset"]])
+def test_columns_of_any_name(spark, names):
+    words = " ".join(f"word{i} of the {i % 7}" for i in range(60))
+    rows = [(1, words, "en"), (1, words, "en"), (2, words + " token=abcdefgh12345 end", "en"), (None, words[::-1], None), (3, None, "en"), (4, "", "de"), (5, "long text " + "unique%d " * 4000 % tuple(range(4000)), "en")]
+    frame = spark.createDataFrame([(*r, "s", 0, *(f"x{i}" for i in range(len(names)))) for r in rows], f"doc_id bigint, text string, lang string, source string, n_chars bigint, {', '.join(f'{n} string' for n in names)}")
+    plain = frame.drop(*names)
+    for (_, stage), last in zip(corpus_pipeline.STAGES, (0, 0, 0, 0, 1), strict=True):
+        got, want = stage(spark, frame, ""), stage(spark, plain, "")
+        assert last or got.columns == frame.columns
+        assert sorted(map(repr, got.select(want.columns).drop("sequence_id", "offset", "sequence_tokens", "padded_tokens").collect())) == sorted(map(repr, want.drop("sequence_id", "offset", "sequence_tokens", "padded_tokens").collect()))
+        if not last:
+            assert all(r[n] == f"x{i}" for r in got.collect() for i, n in enumerate(names))

@@ -82,3 +82,20 @@ def test_queries_lose_no_match(pattern, seed):
 @pytest.mark.parametrize("rule", secrets.BASE + secrets.MORE)
 def test_rules_with_fixed_text_use_the_index(rule):
     assert (trigrams.query_of(rule.pattern) == trigrams.ANY) == (rule.kind == "hex")
+
+
+def test_candidates_come_from_the_posting_lists(spark, tmp_path):
+    frame = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    index = secrets.TrigramIndex(secrets.BASE + secrets.MORE, f"file://{tmp_path}")
+    index.build(frame)
+    held = {}
+    for d, t in enumerate(TEXTS):
+        held[d] = {g for g in index.grams if g in (t or "").lower()}
+    lists = index.posting_lists(index.grams[:3])
+    assert "PartitionFilters: [isnotnull" in lists._jdf.queryExecution().toString() or "PartitionFilters: [gram" in lists._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in lists.collect()) == sorted((d, index.grams.index(g)) for d in held for g in index.grams[:3] if g in held[d])
+    want = {d: sum(1 << i for i, q in enumerate(index.queries) if any(o <= held[d] for o in q)) for d in held}
+    assert dict(tuple(r) for r in index.candidates().collect()) == {d: b for d, b in want.items() if b}
+    # a document taken out of a list is no candidate any more
+    index.postings = index.postings.where("doc_id != 0")
+    assert 0 not in dict(tuple(r) for r in index.candidates().collect())

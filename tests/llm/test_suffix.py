@@ -48,18 +48,24 @@ def test_shared_passages(spark, kwargs):
     assert got(frame, **kwargs) == slow(docs)
 
 
-def test_family_levels_grow_geometrically():
+def test_batches_are_scanned_against_standing_levels():
     rng = np.random.default_rng(1)
-    family, known = suffix_family.SuffixFamily(4), {}
-    for _ in range(40):
-        strings = rng.integers(97, 100, (50, 4)).astype(np.uint8).view("S4").ravel()
-        docs = rng.integers(0, 1000, 50)
-        family.add(strings, docs)
-        for s, d in zip(strings.tolist(), docs.tolist(), strict=True):
+    family, known, scans = suffix_family.SuffixFamily(4, block=7), {}, []
+    scan = family._scan
+    family._scan = lambda level, *a: scans.append(len(level.at)) or scan(level, *a)
+    for step in range(40):
+        data = rng.integers(97, 100, 53).astype(np.uint8)
+        docs = np.sort(rng.integers(25 * step, 25 * step + 30, 50))
+        standing = [len(level.at) for level in family.levels.values()]
+        scans.clear()
+        best = family.add(data, np.arange(50), docs)
+        assert scans == standing and len(standing) <= 8
+        strings = [data[i : i + 4].tobytes() for i in range(50)]
+        for s, d in zip(strings, docs.tolist(), strict=True):
             known[s] = min(d, known.get(s, d))
-    assert len(family.levels) <= 8
-    before = {s: family.smallest(np.array([s]))[0] for s in list(known)[:20]}
-    family.close()
-    assert len(family.levels) == 1 and all(family.smallest(np.array([s]))[0] == d for s, d in before.items())
-    names = np.array([*known, b"zzzz"])
-    assert family.smallest(names).tolist() == [*known.values(), np.iinfo(np.int64).max]
+        assert best.tolist() == [known[s] for s in strings]
+    held = [{level.data[i : i + 4].tobytes() for i in level.at.tolist()} for level in family.levels.values()]
+    assert set().union(*held) == set(known)
+    for level in family.levels.values():
+        strings = [level.data[i : i + 4].tobytes() for i in level.at.tolist()]
+        assert strings == sorted(set(strings))
