@@ -9,8 +9,9 @@ the Jaccard similarity of their sets of shingles is at least ``PARTS / WHOLE``.
 2. At 0.8, two sets of 64-bit fingerprints are apart by about ten bits and often more, a radius at
    which blocks select nothing. The rest is found by prefixes: in any common order of shingles, sets so
    alike share one of the first n - ceil(0.8 n) + 1. Shingles that are frequent in a sample of the texts
-   are put last, which keeps the groups of a shingle small; the order changes the work and not the result.
-3. A few members of each group are compared with all of it. Then pairs of a group that are not
+   are put last, which keeps the groups of a shingle small; the order changes the work and not the result. At the first
+   shingle that two sets share, what is left of each from there on must be enough for the similarity; where it is not, the pair is not made.
+3. A few members of each group, those whose shingles are shared most, are compared with all of it. Then pairs of a group that are not
    yet in the same component are compared too.
 4. Candidates are first compared by sketches: the shingles counted in about a quarter as many cells as there are shingles.
    What two sketches have in common, cell by cell, is never less than what the sets share, so a pair that
@@ -167,7 +168,7 @@ def _frequent(marks: DataFrame) -> np.ndarray:
 
 
 def _prefixes(marks: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(shingle, node, size) of the first shingles of each node; a task tells a node once."""
+    """(shingle, node, size, place) of the first shingles of each node, in their order; a task tells a node once."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -187,10 +188,11 @@ def _prefixes(marks: DataFrame, frequent: np.ndarray) -> DataFrame:
             late = np.split(frequent[at] == every if len(frequent) else np.zeros(len(every), bool), np.cumsum(sizes)[:-1])
             counts = np.where(sizes > 0, sizes - -(-PARTS * sizes // WHOLE) + 1, 0)
             out = [np.concatenate([x[~z], x[z]])[:k] for x, z, k in zip(sets, late, counts.tolist(), strict=True)]
-            arrays = np.concatenate(out).view(np.int64), np.repeat(nodes.to_numpy(), counts), np.repeat(sizes.astype(np.int32), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["shingle", "node", "size"])
+            place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            arrays = np.concatenate(out).view(np.int64), np.repeat(nodes.to_numpy(), counts), np.repeat(sizes.astype(np.int32), counts), place.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["shingle", "node", "size", "place"])
 
-    return marks.select("node", "text").mapInArrow(first, "shingle bigint, node bigint, size int")
+    return marks.select("node", "text").mapInArrow(first, "shingle bigint, node bigint, size int, place int")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, marks: DataFrame, path: str) -> DataFrame:
@@ -226,7 +228,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def components(marks: DataFrame, folder: str) -> DataFrame:
     """(node, label) of the nodes that have links; ``marks`` as :func:`_marks` has them, stored."""
-    near = F.least("size", "_size") * WHOLE >= F.greatest("size", "_size") * PARTS
+    rest_of = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place"))
+    near = (F.least("size", "_size") * WHOLE >= F.greatest("size", "_size") * PARTS) & (rest_of * (PARTS + WHOLE) >= (F.col("size") + F.col("_size")) * PARTS)
     nodes = stored(marks.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), F.min("size").alias("size"), F.min("sketch").alias("sketch")), f"{folder}/nodes")
     classes = stored(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), f"{folder}/classes")
     same = nodes.join(classes, "fingerprint").select(F.col("node").alias("x"), F.col("first").alias("y"))
@@ -237,16 +240,20 @@ def components(marks: DataFrame, folder: str) -> DataFrame:
     rows, each = _prefixes(marks, _frequent(marks)), W.partitionBy("shingle")
     groups = rows.withColumn("_low", F.min("node").over(each)).withColumn("_high", F.max("node").over(each)).where("_low < _high").drop("_low", "_high").distinct()
     groups = stored(groups, f"{folder}/groups")
-    pivot = F.array(*(F.min_by(F.struct("node", "size"), F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)))
-    pivots = groups.groupBy("shingle").agg(pivot.alias("_p")).select("shingle", F.explode("_p").alias("_p")).distinct()
-    pivots = pivots.select("shingle", F.col("_p.node").alias("y"), F.col("_p.size").alias("_size"))
+    # pivots are members whose shingles are shared most, as what lies in the middle of a group of copies is near to most of it
+    crowd = groups.groupBy("shingle").agg(F.count("*").alias("rows"))
+    weight = groups.join(crowd, "shingle").groupBy("node").agg(F.sum("rows").alias("weight"))
+    weighed = groups.join(stored(weight, f"{folder}/weights"), "node")
+    ofs = [F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == i, F.struct("weight", "node", "size", "place")) for i in range(PIVOTS)]
+    pivots = weighed.groupBy("shingle").agg(F.array_compact(F.array(*map(F.max, ofs))).alias("_p")).select("shingle", F.explode("_p").alias("_p"))
+    pivots = pivots.select("shingle", F.col("_p.node").alias("y"), F.col("_p.size").alias("_size"), F.col("_p.place").alias("_place"))
     stars = groups.join(pivots, "shingle").where(near).select(F.col("node").alias("x"), "y")
     found = _verified(_ordered(same.union(close).union(stars)), nodes, marks, f"{folder}/first")
     labels = connected(found, f"{folder}/one")
     named = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("shingle").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("shingle")
     named = stored(named.join(mixed, "shingle", "left_semi"), f"{folder}/mixed")
-    other = named.select("shingle", F.col("node").alias("y"), F.col("size").alias("_size"), F.col("label").alias("_label"))
+    other = named.select("shingle", F.col("node").alias("y"), F.col("size").alias("_size"), F.col("place").alias("_place"), F.col("label").alias("_label"))
     rest = named.join(other, "shingle").where((F.col("label") < F.col("_label")) & near).select(F.col("node").alias("x"), "y")
     more = _verified(_ordered(rest).join(stored(found.select("a", "b"), f"{folder}/found"), ["a", "b"], "left_anti"), nodes, marks, f"{folder}/second")
     return connected(found.union(more), f"{folder}/two")
