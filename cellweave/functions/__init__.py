@@ -74,13 +74,21 @@ _AGGREGATES = {
 }
 
 
+def _known() -> set[str]:
+    """All SQL functions, and the short names of those with a scalar form."""
+    import importlib
+
+    geometry, kernels = (importlib.import_module(f"{__name__}.{m}") for m in ("geometry", "kernels"))
+    return {*DEFINITIONS, *geometry.FUNCTIONS, *kernels.NAMES, *(n.removesuffix("_double") for n in DEFINITIONS)}
+
+
 def __getattr__(name: str):
     """``rf_*`` and ``st_*`` as functions of columns."""
     if name in _AGGREGATES:
         from cellweave.operators import cells
 
         return getattr(cells, _AGGREGATES[name])
-    if name.startswith(("rf_", "st_")):
+    if name.startswith(("rf_", "st_")) and name in _known():
 
         def function(*args) -> Column:
             return call(name, *args)

@@ -329,6 +329,10 @@ def _rasterize(geometry: pa.Array, bounds: pa.Array, value: pa.Array, cols: pa.A
     return to_tiles(out)
 
 
+#: What :func:`register` adds to SQL.
+NAMES = [f"rf_focal_{n}" for n in [*FOCAL, "moransi"]] + [f"rf_{n}" for n in ("convolve", "resample", "resample_like", "resample_nearest", "slope", "aspect", "hillshade", "render_png", "render_color_ramp_png", "rasterize")]
+
+
 def register(spark: SparkSession) -> None:
     known = {f"rf_focal_{n}": _focal(n) for n in [*FOCAL, "moransi"]}
     known |= {"rf_convolve": arrow_udf(_convolve, tile_type), "rf_resample": arrow_udf(_resample, tile_type), "rf_resample_like": arrow_udf(_resample_like, tile_type)}
