@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellweave import functions as rf
 from cellweave.functions.kernels import matrices, resampled, to_tiles
 from cellweave.operators.cells import tile_columns
 from cellweave.tiles import TILE
@@ -206,3 +207,47 @@ def laid(cells: np.ndarray, source: dict, source_crs: str, target: dict, target_
     r = np.floor((source["ymax"] - py) / (source["ymax"] - source["ymin"]) * cells.shape[0]).astype(int)
     good = (c >= 0) & (c < cells.shape[1]) & (r >= 0) & (r < cells.shape[0])
     return np.where(good, cells[np.clip(r, 0, cells.shape[0] - 1), np.clip(c, 0, cells.shape[1] - 1)], np.nan)
+
+
+_SIDES = ("xmin", "ymin", "xmax", "ymax")
+
+
+def vector_join(shapes: DataFrame, rasters: DataFrame, geometry: str = "geometry", extent: str = "extent", predicate: str = "st_intersects", cell: float | None = None) -> DataFrame:
+    """Each row of ``shapes`` with each of ``rasters`` whose box satisfies ``predicate(geometry, box)``; both in one CRS.
+
+    Boxes are dealt to square cells. A box goes to the level whose cells (``cell`` times a power of two; by default
+    the middle size of the rasters' boxes) are at least its size, so it meets four of them at most, and is told to each coarser level in use; two
+    boxes meet at the coarser of their levels alone, in the cell that holds the lower left corner of what they share, so a pair is made once
+    and nothing is joined but on equal keys. Boxes are compared before the predicate is asked. Null geometries and boxes join nothing.
+    """
+    spark = rf.register(shapes.sparkSession)
+    size = lambda e: F.greatest(e["xmax"] - e["xmin"], e["ymax"] - e["ymin"])
+    if cell is None:
+        middle = rasters.where(F.col(extent).isNotNull()).agg(F.percentile_approx(size(F.col(extent)), 0.5)).first()[0]
+        cell = middle or 1.0
+
+    def levelled(df: DataFrame, box: Column, row: str) -> DataFrame:
+        held = df.select(F.struct(*(df[c] for c in df.columns)).alias(row), box.alias("box")).where("box is not null")
+        level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size(F.col("box")), F.lit(1e-300)) / cell))).cast("int")
+        return held.withColumn("own", level)
+
+    a = levelled(shapes, rf.call("st_extent", F.col(geometry)), "a")
+    b = levelled(rasters, F.col(extent), "b")
+    levels = sorted({r.own for df in (a, b) for r in df.select("own").distinct().collect()})  # a few dozen at most
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        known = F.array(*(F.lit(n) for n in levels)) if levels else F.array().cast("array<int>")
+        told = df.withColumn("level", F.explode(F.filter(known, lambda n: n >= F.col("own"))))
+        width = F.lit(cell) * F.pow(F.lit(2.0), "level")
+        at = lambda v: F.floor(F.col(f"box.{v}") / width)
+        told = told.withColumn("cx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
+        return told.select("level", "cx", "cy", side, F.col("own").alias(f"own_{side}"), *(F.col(f"box.{v}").alias(f"{v}_{side}") for v in _SIDES))
+
+    joined = dealt(a, "a").join(dealt(b, "b"), ["level", "cx", "cy"])
+    width = F.lit(cell) * F.pow(F.lit(2.0), "level")
+    once = (F.col("level") == F.greatest("own_a", "own_b")) & (F.col("cx") == F.floor(F.greatest("xmin_a", "xmin_b") / width)) & (F.col("cy") == F.floor(F.greatest("ymin_a", "ymin_b") / width))
+    meet = F.expr("xmin_a <= xmax_b and xmin_b <= xmax_a and ymin_a <= ymax_b and ymin_b <= ymax_a")
+    pairs = joined.where(once & meet).select("a", "b")
+    held = pairs.where(rf.call(predicate, F.col(f"a.{geometry}"), rf.call("st_geometry", F.col(f"b.{extent}"))))
+    names = [c if c not in shapes.columns else f"right_{c}" for c in rasters.columns]
+    return held.select(*(F.col("a").getField(c).alias(c) for c in shapes.columns), *(F.col("b").getField(c).alias(n) for c, n in zip(rasters.columns, names, strict=True)))

@@ -87,10 +87,8 @@ def layer_layout(df: DataFrame) -> Layout:
 
 
 def to_layer(df: DataFrame, layout: Layout, resampling: str = "nearest_neighbor") -> DataFrame:
-    """Any frame of tiles with ``extent`` and ``crs`` on the layout's grid, as the right side of a raster join."""
-    grid = df.sparkSession.range(layout.layout_cols * layout.layout_rows)
-    key = F.struct(F.pmod("id", F.lit(layout.layout_cols)).cast("int").alias("col"), F.floor(F.col("id") / layout.layout_cols).cast("int").alias("row"))
-    grid = grid.select(key.alias(_KEY))
+    """Any frame of tiles with ``extent`` and ``crs`` on the layout's grid, as the right side of a raster join; only keys that a box meets are made."""
+    grid = _met(df, layout)
     blank = F.struct(F.lit(layout.cell_type).alias("cell_type"), F.lit(layout.tile_cols).alias("cols"), F.lit(layout.tile_rows).alias("rows"), F.array_repeat(F.lit(None).cast("double"), layout.tile_cols * layout.tile_rows).alias("cells"))
     grid = grid.select(_KEY, blank.alias("_grid"), extent_of(layout).alias("extent"), F.lit(layout.crs).alias("crs"))
     joined = raster_join(grid, df, resampling=resampling)
@@ -98,6 +96,20 @@ def to_layer(df: DataFrame, layout: Layout, resampling: str = "nearest_neighbor"
     return as_layer(kept, layout)
 
 
+def _met(df: DataFrame, layout: Layout) -> DataFrame:
+    """The keys of the layout's cells that the boxes of ``df`` meet."""
+    rf.register(df.sparkSession)
+    e = F.when(F.col("crs") == layout.crs, F.col("extent")).otherwise(rf.call("rf_reprojected_extent", F.col("extent"), F.col("crs"), F.lit(layout.crs)))
+    at = lambda v, n: F.least(F.greatest(F.floor(v), F.lit(0)), F.lit(n - 1)).cast("int")
+    box = df.where("extent is not null and crs is not null").select(e.alias("e")).select("e.*")
+    span = box.select(
+        at((F.col("xmin") - layout.xmin) / layout.width, layout.layout_cols).alias("c0"), at((F.col("xmax") - layout.xmin) / layout.width, layout.layout_cols).alias("c1"),
+        at((layout.ymax - F.col("ymax")) / layout.height, layout.layout_rows).alias("r0"), at((layout.ymax - F.col("ymin")) / layout.height, layout.layout_rows).alias("r1"),
+    ).distinct()
+    cells = span.withColumn("col", F.explode(F.sequence("c0", "c1"))).withColumn("row", F.explode(F.sequence("r0", "r1")))
+    return cells.select(F.struct("col", "row").alias(_KEY)).distinct()
+
+
 def extent_of(layout: Layout, key: str = _KEY) -> Column:
     k = F.col(key)
     x, y = layout.xmin + k["col"] * layout.width, layout.ymax - k["row"] * layout.height

@@ -110,14 +110,14 @@ _WITHIN, _AT = "x >= -50 and x + 20 <= 50 and y >= -20 and y + 15 <= 40", "x bet
 @query(f"""select k, {_MEET} as meets, not ({_MEET}) as apart, {_WITHIN} as inside, {_WITHIN} as holds, {_WITHIN} as covers, ({_MEET}) and not ({_IN}) as touches, ({_IN}) and not ({_WITHIN}) as overlaps, true as equal,
 y > -20 and y < 40 and x < 50 and x + 20 > -50 and (x < -50 or x + 20 > 50) as crosses, {_IN} as inner_,
 case when x > -50 and x < 50 and y > -20 and y < 40 then '0FFFFF212' when {_AT} then 'F0FFFF212' else 'FF0FFF212' end as matrix,
-round(sqrt(pow(greatest(-50 - x, 0, x - 50), 2) + pow(greatest(-20 - y, 0, y - 40), 2)), 6) as distance, 'POINT (' || least(greatest(x, -50), 50)::bigint || ' ' || least(greatest(y, -20), 40)::bigint || ')' as nearest from ({_POINTS})""")
+round(sqrt(pow(greatest(-50 - x, 0, x - 50), 2) + pow(greatest(-20 - y, 0, y - 40), 2)), 6) as distance, least(greatest(x, -50), 50)::double as near_x, least(greatest(y, -20), 40)::double as near_y from ({_POINTS})""")
 def geometry_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     made = _points(spark, sf_dir).select("k", call("st_geometry", call("st_makeBBox", x, y, x + 20, y + 15)).alias("b"), call("st_geometry", call("st_makeBBox", -50.0, -20.0, 50.0, 40.0)).alias("c"), call("st_point", x, y).alias("p"), call("st_makeLine", F.array(call("st_point", x, y), call("st_point", x + 20, y))).alias("l"))
     r = lambda n, a, b: call(f"st_{n}", a, b)
-    return made.select(
+    return made.withColumn("near", r("closestPoint", "c", "p")).select(
         "k", r("intersects", "b", "c").alias("meets"), r("disjoint", "b", "c").alias("apart"), r("within", "b", "c").alias("inside"), r("contains", "c", "b").alias("holds"), r("covers", "c", "b").alias("covers"), r("touches", "b", "c").alias("touches"), r("overlaps", "b", "c").alias("overlaps"),
-        r("equals", "b", call("st_envelope", "b")).alias("equal"), r("crosses", "l", "c").alias("crosses"), call("st_relateBool", "b", "c", F.lit("T********")).alias("inner_"), r("relate", "p", "c").alias("matrix"), F.round(r("distance", "p", "c"), 6).alias("distance"), call("st_asText", r("closestPoint", "c", "p")).alias("nearest"),
+        r("equals", "b", call("st_envelope", "b")).alias("equal"), r("crosses", "l", "c").alias("crosses"), call("st_relateBool", "b", "c", F.lit("T********")).alias("inner_"), r("relate", "p", "c").alias("matrix"), F.round(r("distance", "p", "c"), 6).alias("distance"), F.round(call("st_x", "near"), 6).alias("near_x"), F.round(call("st_y", "near"), 6).alias("near_y"),
     )
 
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from cellweave.plans import spatial  # noqa: F401
+from cellweave.plans import geometry, layered, spatial  # noqa: F401
 from cellweave.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
