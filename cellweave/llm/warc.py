@@ -11,7 +11,11 @@ long, that with the largest page_id is written as a response and the others as
 revisits of it, without the payload. Rows that share this largest page_id are all
 responses. A null html is an empty payload; a null page_id can only be a response or
 a revisit of a page that has an id. A null url is written as an empty target.
-No rows: no archives. Other columns are not read.
+No rows: no archives. Other columns are not read, whatever their names.
+
+Digests are grouped without payloads. The repeated ones are sent to all executors up to ``BROADCAST_ROWS`` rows, so payloads are
+written where they are read; beyond that both sides are shuffled. A record's identifier comes from page_id and digest; where several rows
+have the same of both, also from the place of the row in its task, and revisits of such a page name it by page_id alone.
 
 Each task streams its own archives under names of its own; the index rows of
 committed tasks name the archives that count.
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,27 +43,34 @@ RECORDS = "record_id string, page_id bigint, url string, record_type string, pay
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id}/{digest}'.encode()).digest())}"
+#: Repeated digests (some 60 bytes each) up to which they are sent to all executors.
+BROADCAST_ROWS = 1_000_000
+
+
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    return f"urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id}/{digest}{place}'.encode()).digest())}"
 
 
-def response_of(pages: DataFrame, revisit_bytes: int) -> DataFrame:
-    """The pages with payload, its digest, and the page that each refers to (null: it is a response)."""
+def response_of(pages: DataFrame, revisit_bytes: int, folder: str) -> DataFrame:
+    """The pages with payload, its digest, the page that each refers to (null: it is a response), and whether several rows of a page have that payload."""
     told = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     told = told.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("bigint").alias("bytes"))
-    slim = told.where(F.col("bytes") >= revisit_bytes)
-    equal = slim.groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null")
+    rows = told.groupBy("digest", "bytes", "page_id").agg(F.count("*").alias("rows"))
+    every = rows.groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.sum("rows").alias("copies"), F.max("rows").alias("most"))
+    equal = every.where((F.col("most") > 1) | ((F.col("copies") > 1) & (F.col("bytes") >= revisit_bytes) & F.col("first").isNotNull()))
+    equal = stored(equal.select("digest", "bytes", F.when(F.col("bytes") >= revisit_bytes, F.col("first")).alias("first"), (F.col("most") > 1).alias("shared")), f"{folder}/equal")
+    few = F.broadcast(equal) if equal.count() <= BROADCAST_ROWS else equal
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    return told.join(equal.drop("copies"), ["digest", "bytes"], "left").withColumn("refers_to", refers).drop("first")
+    return told.join(few, ["digest", "bytes"], "left").select("page_id", "url", "payload", "digest", "bytes", refers.alias("refers_to"), F.coalesce("shared", F.lit(False)).alias("shared"))
 
 
-def to_record(page_id: int | None, url: str, payload: bytes, digest: str, size: int, refers_to: int | None, date: str) -> bytes:
+def to_record(name: str, page_id: int | None, url: str, payload: bytes, digest: str, size: int, refers_to: int | None, refers_to_name: str | None, date: str) -> bytes:
     """A WARC/1.1 record with an HTTP block; a revisit's block has the header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<{record_id(page_id, digest)}>",
+        "WARC-Record-ID": f"<{name}>",
         "WARC-Date": date,
         "WARC-Target-URI": " ".join(url.split()),
         "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(),
@@ -67,7 +79,9 @@ def to_record(page_id: int | None, url: str, payload: bytes, digest: str, size:
     if page_id is not None:
         head["X-Page-ID"] = page_id
     if refers_to is not None:
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{record_id(refers_to, digest)}>", "X-Refers-To-Page-ID": refers_to}
+        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": refers_to}
+        if refers_to_name is not None:
+            head["WARC-Refers-To"] = f"<{refers_to_name}>"
     head |= {"Content-Type": "application/http;msgtype=response", "Content-Length": len(block)}
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -140,10 +154,12 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 1000, fra
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            bundle = None
-            for page_id, url, payload, digest, size, refers_to in rows_in(batches, "page_id", "url", "payload", "digest", "bytes", "refers_to"):
+            bundle, task = None, TaskContext.get().partitionId()
+            for i, (page_id, url, payload, digest, size, refers_to, shared) in enumerate(rows_in(batches, "page_id", "url", "payload", "digest", "bytes", "refers_to", "shared")):
                 bundle = bundle or BundleWriter(attempt_file(f"{folder}/archives", ".warc.zst"), frame_bytes, level)
-                yield from bundle.add(record_id(page_id, digest), page_id, to_record(page_id, url, payload, digest, size, refers_to, date))
+                name = record_id(page_id, digest, f"/{task}/{i}" if shared else "")
+                target = record_id(refers_to, digest) if refers_to is not None and not shared else None
+                yield from bundle.add(name, page_id, to_record(name, page_id, url, payload, digest, size, refers_to, target, date))
                 if bundle.at >= archive_bytes:
                     yield from bundle.close()
                     bundle = None
@@ -152,7 +168,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 1000, fra
 
         return batches_of(rows(), record_id="string", page_id="int64", archive="string", frame="int32", frame_offset="int64", frame_size="int64", record_offset="int64", record_size="int64")
 
-    return stored(response_of(pages, revisit_bytes).mapInArrow(write, INDEX), f"{folder}/index")
+    return stored(response_of(pages, revisit_bytes, folder).mapInArrow(write, INDEX), f"{folder}/index")
 
 
 def _told(head: dict[str, str], payload: bytes, with_payload: bool) -> tuple:

@@ -23,5 +23,18 @@ def test_round_trip(spark):
     assert sorted(bytes(r.payload) for r in warc.look_up(index, wanted).collect()) == [b"\r\n\r\nWARC/1.1\r\n" * 100, b"short"]
 
 
+def test_identifiers_are_unique_and_shuffled_digests_agree(spark, monkeypatch):
+    rows = [*PAGES, PAGES[0], (None, "n", LONG), (8, "v", None), (8, "v", ""), (9, "big", "xy" * 400_000)]
+    pages = spark.createDataFrame([(*p, "x", "y", 1) for p in rows], "page_id bigint, url string, html string, digest string, record_id string, bytes int").repartition(3)
+    told = []
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+        index = warc.write_archives(pages, work_dir(spark, "test"), frame_bytes=500)
+        assert index.select("record_id").distinct().count() == len(rows)
+        assert warc.look_up(index, index.select("record_id")).count() == len(rows)
+        told.append(sorted(map(repr, warc.read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())))
+    assert told[0] == told[1] and len(told[0]) == len(rows)
+
+
 def test_no_rows(spark):
     assert warc.archived(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
