@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm._shared import stored, work_dir
+from cellweave.llm._shared import shuffle_width, stored, work_dir
 from cellweave.llm.trigrams import ANY, query_of
 
 
@@ -78,8 +78,8 @@ class TrigramIndex:
         low = docs.select("doc_id", F.lower("text").alias("low"))
         there = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(self.grams))))
         rows = low.select("doc_id", F.explode(there).alias("gram"))
-        # a list is dealt to a few tasks, so that none writes all of a long one and each folder has few files
-        few = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+        # a list is dealt to an eighth of the tasks, so that none writes all of a long one and a folder has few files
+        few = F.pmod(F.xxhash64("doc_id"), F.lit(max(4, shuffle_width(docs.sparkSession) // 8)))
         self.postings = stored(rows.repartition("gram", few), f"{self.folder}/postings", "gram")
 
     def posting_lists(self, grams: list[str]) -> DataFrame:
