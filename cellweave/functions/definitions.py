@@ -163,7 +163,11 @@ define(
     "rf_standardize", f"a {TILE}, mean DOUBLE DEFAULT NULL, stddev DOUBLE DEFAULT NULL", TILE,
     f"aggregate(array(rf_tile_stats(a)), cast(null as {TILE}), (t, s) -> {tile("transform(a.cells, x -> try_divide(x - coalesce(mean, s.mean), coalesce(stddev, sqrt(s.variance))))", "'float32'")})",
 )
-define("rf_tile_histogram", f"a {TILE}", "STRUCT<bins: ARRAY<STRUCT<value: DOUBLE, count: BIGINT>>>", "named_struct('bins', transform(array_sort(array_distinct(array_compact(a.cells))), v -> named_struct('value', v, 'count', bigint(size(array_compact(a.cells)) - size(array_remove(array_compact(a.cells), v))))))")
+define(
+    "rf_tile_histogram", f"a {TILE}", "STRUCT<bins: ARRAY<STRUCT<value: DOUBLE, count: BIGINT>>>",
+    "named_struct('bins', get(transform(array(sort_array(array_compact(a.cells))), s -> get(transform(array(filter(transform(s, (v, i) -> named_struct('v', v, 'n', i + 1)), e -> coalesce(get(s, e.n) <> e.v, true))), "
+    "ends -> transform(ends, (e, i) -> named_struct('value', e.v, 'count', bigint(e.n - coalesce(get(ends, i - 1).n, 0))))), 0)), 0))",
+)
 
 # boxes, keys and indexes
 define("st_makeBBox", "x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE", EXTENT, "named_struct('xmin', least(x0, x1), 'ymin', least(y0, y1), 'xmax', greatest(x0, x1), 'ymax', greatest(y0, y1))")

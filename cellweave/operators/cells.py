@@ -46,14 +46,14 @@ def assembled(column: Column | str, row: Column | str, value: Column | str, cols
     """An aggregate: the tile of a group's cells; cells without a row have no data, and of rows for one cell the largest counts."""
     at = (F.col(row) if isinstance(row, str) else row) * cols + (F.col(column) if isinstance(column, str) else column)
     inside = F.when((at >= 0) & (at < cols * rows), at.cast("int")).otherwise(F.raise_error(F.lit("a cell outside the tile")).cast("int"))
-    entries = F.array_sort(F.collect_list(F.struct(inside.alias("at"), (F.col(value) if isinstance(value, str) else value).cast("double").alias("v"))))
+    entries = F.sort_array(F.collect_list(F.struct(inside.alias("at"), (F.col(value) if isinstance(value, str) else value).cast("double").alias("v"))))
     bound = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))  # noqa: E731  evaluates x once
-    nothing = lambda n: F.array_repeat(F.lit(None).cast("double"), n)
-    last_of_each = lambda es: F.filter(es, lambda e, i: F.coalesce(F.get(es, i + 1)["at"] != e["at"], F.lit(True)))
-    # the gap before each cell, the cell, and the gap behind the last
-    gap = lambda es: F.transform(es, lambda e, i: F.concat(nothing(e["at"] - F.coalesce(F.get(es, i - 1)["at"], F.lit(-1)) - 1), F.array(e["v"])))
-    laid = lambda es: F.concat(F.flatten(gap(es)), nothing(F.lit(cols * rows - 1) - F.get(es, F.size(es) - 1)["at"]))
-    cells = bound(entries, lambda es: bound(last_of_each(es), laid))
+    places = F.sequence(F.lit(0), F.lit(cols * rows - 1))
+    # a null for every place sorts before that place's cells, of which the last counts
+    nulls = F.arrays_zip(places.alias("at"), F.array_repeat(F.lit(None).cast("double"), cols * rows).alias("v"))
+    last_of_each = lambda es: F.filter(es, lambda e, i: F.coalesce(F.get(es, i + 1)["at"] != e["at"], F.lit(True)))["v"]
+    filled = lambda es: bound(F.sort_array(F.concat(es, nulls)), last_of_each)
+    cells = bound(entries, lambda es: F.when(es["at"] == places, es["v"]).otherwise(filled(es)))
     made = F.struct(F.lit("float64").alias("cell_type"), F.lit(cols).alias("cols"), F.lit(rows).alias("rows"), cells.alias("cells"))
     return made if cell_type == "float64" else rf.rf_convert_cell_type(made, F.lit(cell_type))
 
