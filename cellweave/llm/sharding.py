@@ -8,9 +8,10 @@ admits what fits, text by text, and the rest look elsewhere in the next round. A
 document that no round has settled, and one without links, which cuts no edge
 wherever it goes, fills what room is left, so every shard ends exactly at its quota.
 
-Joins are on texts' digests. Counts by (text, shard) are aggregated before they move, so a
-text with a third of all rows is a handful of rows there, and is spread over as many
-shards as it needs. Numbering within a shard is split by a hash and put
+Joins of documents are on a text's digest and one of at least 64 parts, more as rows grow, so
+no task holds all documents of a text. Counts by (text, part) and (text, shard) are aggregated
+before they move, so a text with a third of all rows is a few rows there, and is spread over as
+many shards as it needs. Numbering within a shard is split by a hash and put
 together from a table of counts, so no task holds a shard.
 
 Null text counts as no bytes and is equal to an empty one here. Null doc_ids and
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 from cellweave.llm._shared import ranked, stored, work_dir
 
 
+#: Parts at least that the documents of a text are dealt to.
+PARTS = 64
+
+
 def quotas(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
@@ -34,13 +39,14 @@ def _lookup(values: list[int], key: Column) -> Column:
     return F.get(F.array(*(F.lit(v).cast("bigint") for v in values)), key)
 
 
-def propagate(linked: DataFrame, quota: list[int], folder: str, rounds: int, bins: int) -> tuple[DataFrame, list[int]]:
-    """Settle linked documents (row, text_key): (row, shard) of the settled, and the room left.
+def propagate(linked: DataFrame, parts: DataFrame, quota: list[int], folder: str, rounds: int, bins: int) -> tuple[DataFrame, list[int]]:
+    """Settle linked documents (row, text_key, part): (row, shard) of the settled, and the room left.
 
-    ``row`` is a document's name, ``text_key`` its text's. A settled document stays.
+    ``row`` is a document's name, ``text_key`` its text's, ``part`` the part of that text's
+    documents it is in; ``parts`` has a row (text_key, part) for each. A settled document stays.
     """
     shards = len(quota)
-    state = stored(linked.select("row", "text_key", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("settled")), f"{folder}/labels0")
+    state = stored(linked.select("row", "text_key", "part", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("settled")), f"{folder}/labels0")
     room = list(quota)
     for step in range(1, rounds + 1):
         open_ = [s for s in range(shards) if room[s] > 0]
@@ -65,15 +71,15 @@ def propagate(linked: DataFrame, quota: list[int], folder: str, rounds: int, bin
         if not taken:
             break
         # those already in the wished shard settle first
-        asking = state.where(~F.col("settled")).join(admitted, "text_key")
+        told = admitted.join(numbered.select("text_key", "asking"), "text_key").join(parts, "text_key")
+        partly = state.where(~F.col("settled")).join(told, ["text_key", "part"])
         order = [(F.col("shard") != F.col("target")).cast("int"), F.col("row")]
-        partly = asking.join(numbered.select("text_key", "asking"), "text_key")
         whole = partly.where("admit >= asking").select("row", "target")
         split = partly.where("admit < asking")
         chosen = ranked(split, F.xxhash64("row"), ["text_key"], order, bins, "place").where("place < admit").select("row", "target")
         moved = whole.union(chosen)
         state = stored(
-            state.join(moved, "row", "left").select("row", "text_key", F.coalesce("target", "shard").alias("shard"), (F.col("settled") | F.col("target").isNotNull()).alias("settled")),
+            state.join(moved, "row", "left").select("row", "text_key", "part", F.coalesce("target", "shard").alias("shard"), (F.col("settled") | F.col("target").isNotNull()).alias("settled")),
             f"{folder}/labels{step}",
         )
         for s, n in taken.items():
@@ -92,9 +98,13 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 8, bin_rows: int = 50
     named = stored(told.withColumn("row", F.monotonically_increasing_id()), f"{folder}/documents")
     rows = named.count()
     bins = max(1, rows // bin_rows)
-    groups = named.groupBy("text_key").agg(F.count("*").alias("copies"))
-    sized = stored(named.join(groups.where("copies > 1"), "text_key", "left"), f"{folder}/sized")
-    settled, room = propagate(sized.where("copies > 1"), quotas(rows, shards), folder, rounds, bins)
+    # documents of one text in parts by a hash: the counts of parts meet, documents only by part
+    dealt = named.withColumn("part", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(max(PARTS, bins))).cast("int"))
+    held = dealt.groupBy("text_key", "part").agg(F.count("*").alias("held"))
+    copies = held.groupBy("text_key").agg(F.sum("held").alias("copies")).where("copies > 1")
+    parts = stored(held.select("text_key", "part").join(copies, "text_key"), f"{folder}/parts")
+    sized = stored(dealt.join(parts, ["text_key", "part"], "left"), f"{folder}/sized")
+    settled, room = propagate(sized.where("copies > 1"), parts.select("text_key", "part"), quotas(rows, shards), folder, rounds, bins)
     joined = sized.join(settled, "row", "left")
     # the rest fills the room left: the i-th goes to the shard whose stretch of room holds i
     rest = ranked(joined.where("shard is null"), F.xxhash64("row", F.lit(3)), [], [F.col("row")], bins, "place")
