@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellweave.llm._shared import ranked, stored, work_dir
+from cellweave.llm._shared import ranked, shuffle_width, stored, work_dir
 
 
 #: Parts at least that the documents of a text are dealt to.
@@ -97,7 +97,7 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 8, bin_rows: int = 50
     told = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("text_key"))
     named = stored(told.withColumn("row", F.monotonically_increasing_id()), f"{folder}/documents")
     rows = named.count()
-    bins = max(1, rows // bin_rows)
+    bins = max(shuffle_width(spark), rows // bin_rows)
     # documents of one text in parts by a hash: the counts of parts meet, documents only by part
     dealt = named.withColumn("part", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(max(PARTS, bins))).cast("int"))
     held = dealt.groupBy("text_key", "part").agg(F.count("*").alias("held"))
