@@ -84,6 +84,18 @@ def opened(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def give_back() -> None:
+    """Return what memory this Python worker holds free; runs on executors, whose workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def attempt_file(folder: str, suffix: str) -> str:
     """A file name that no other attempt uses, with its folder made; runs on executors."""
     system, path = opened(folder)

@@ -34,8 +34,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellweave.llm import simhash
-from cellweave.llm._shared import fresh, stored, work_dir
+from cellweave.llm._shared import fresh, give_back, stored, work_dir
 from cellweave.llm.components import connected
+from cellweave.llm.rank_queue import rank_encoder
+from cellweave.llm.vocabulary import library_encoder
 
 WORDS = 5
 PARTS, WHOLE = 4, 5
@@ -46,7 +48,7 @@ PIVOTS = 3
 #: Rows (a doc_id and a hash each, or a node) up to which documents to drop or nodes to verify are sent to all executors; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of texts that are hashed at once.
-SLAB = 4 << 20
+SLAB = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -80,8 +82,8 @@ def _hashed(texts: pa.Array) -> Iterator[np.ndarray]:
         starts = (places[i:j] - places[i])[places[i:j] < places[j]]
         begins[starts] = solid[starts]
         begin = np.flatnonzero(begins)
-        upto = np.append(0, np.cumsum(solid))
-        offsets = np.append(upto[begin], upto[-1]).astype(np.int64)
+        solids = np.cumsum(solid, dtype=np.int64 if len(part) >> 31 else np.int32)
+        offsets = np.append(solids[begin] - 1, solids[-1] if len(solids) else 0).astype(np.int64)
         held = np.ascontiguousarray(part[solid])
         words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(held)]).dictionary_encode()
         told = np.fromiter(map(xxhash.xxh64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
@@ -132,6 +134,17 @@ def _batches(rows: Iterator[tuple], size: int, kinds: dict[str, pa.DataType]) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows. A worker that has encoded before lets go of its vocabularies, and in the end of free memory."""
+    library_encoder.cache_clear()
+    rank_encoder.cache_clear()
+    give_back()
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+    give_back()
+
+
 def _marks(docs: DataFrame) -> DataFrame:
     """(doc_id, told, node, fingerprint, size, sketch, text) of each row: told is a hash of the text and node one of its shingles."""
     kinds = {"doc_id": pa.int64(), "told": pa.int64(), "node": pa.int64(), "fingerprint": pa.int64(), "size": pa.int32(), "sketch": pa.binary(), "text": pa.string()}
@@ -143,7 +156,7 @@ def _marks(docs: DataFrame) -> DataFrame:
             return value - (value >> 63 << 64)
 
         def rows() -> Iterator[tuple]:
-            for batch in batches:
+            for batch in _slices(batches):
                 doc_ids, told, texts = (batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "told", "text"))
                 for doc_id, hashed, every, text in zip(doc_ids.to_pylist(), told.to_pylist(), _hashed(texts), texts, strict=True):
                     own = np.unique(every)
@@ -157,7 +170,7 @@ def _marks(docs: DataFrame) -> DataFrame:
 
 def _frequent(marks: DataFrame) -> np.ndarray:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = shingle_sets(batch.column(0))
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
@@ -172,7 +185,7 @@ def _prefixes(marks: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             new = []
             for i, node in enumerate(batch.column(0).to_pylist()):
                 if node not in seen:
@@ -205,12 +218,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, marks: DataFrame, path: str) -
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                one, two = (shingle_sets(part.column(k)) for k in (2, 3))
-                good = [(PARTS + WHOLE) * len(np.intersect1d(x, y, assume_unique=True)) >= PARTS * (len(x) + len(y)) for x, y in zip(one, two, strict=True)]
-                yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        for part in _slices(batches, 256):
+            one, two = (shingle_sets(part.column(k)) for k in (2, 3))
+            good = [(PARTS + WHOLE) * len(np.intersect1d(x, y, assume_unique=True)) >= PARTS * (len(x) + len(y)) for x, y in zip(one, two, strict=True)]
+            yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     told = [nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"_{x}"), F.col("size").alias(f"size_{x}")) for x in "ab"]
     sketched = pairs.join(told[0], "a").join(told[1], "b").select("a", "b", "_a", "_b", "size_a", "size_b")
