@@ -117,3 +117,20 @@ def test_aggregates_of_columns(spark):
     two = C.agg_stats(t, ["k"], "t").orderBy("k").collect()
     for a, b in zip(one_, two, strict=True):
         assert np.allclose([float(x) for x in tuple(a)[:-1]], [float(x) for x in b]) and math.isclose(a.m, b["mean"])
+
+
+def test_histograms_and_gaps_against_brute_force(spark):
+    from collections import Counter
+
+    values = [3.0, None, 1.0, 3.0, float("inf"), 1.0, 3.0, None, -2.5]
+    schema = "t struct<cell_type: string, cols: int, rows: int, cells: array<double>>"
+    frame = spark.createDataFrame([(("float64", 3, 3, v),) for v in (values, [None] * 9)], schema)
+    full, none = (r.h.bins for r in frame.selectExpr("rf_tile_histogram(t) as h").collect())
+    assert [(b["value"], b["count"]) for b in full] == sorted(Counter(v for v in values if v is not None).items()) and none == []
+    # a place without a row, one with two rows, one with a null and a value
+    rows = [(0, 0, 5.0), (2, 1, 1.0), (2, 1, 4.0), (1, 0, None), (1, 0, -1.0)]
+    given = spark.createDataFrame(rows, "c int, r int, v double")
+    one = given.agg(C.assembled("c", "r", "v", 3, 2).alias("t")).select(F.col("t.cells").alias("x")).first().x
+    assert one == [5.0, -1.0, None, None, None, 4.0]
+    whole = spark.createDataFrame([(i % 3, i // 3, float(i)) for i in range(6)], "c int, r int, v double")
+    assert whole.agg(C.assembled("c", "r", "v", 3, 2).alias("t")).first().t.cells == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
