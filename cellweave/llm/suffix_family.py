@@ -8,13 +8,15 @@ documents.
    neighbouring rows of a file.
 2. Each string of ``length`` bytes has a key: the smallest hash of the ``GRAM``-byte
    grams in it. Neighbouring strings mostly share their key, so a text gives about
-   one stretch with one key for each 17 bytes. Equal strings have equal keys. Each run sends
-   its distinct keys, packed, to the bucket of the key; a bucket reports to the runs
-   which keys also stand in another document. This leaves out what cannot match.
+   one stretch with one key for each 14 bytes. Equal strings have equal keys. The distinct keys
+   of each run go, packed with those of neighbouring runs, to the bucket of the key; a bucket reports to the runs
+   which keys also stand in another document. This leaves out what cannot match. Shorter grams would
+   leave out ever less as a table grows, as they recur by chance.
 3. The stretches with reported keys, as bytes, go to the bucket of their key, equal
-   ones of a run once. Keys that stand in many runs (a passage that very many
-   documents share) are dealt by single strings instead, so that a bucket never
-   holds all contexts of such a passage.
+   ones of a pack of runs once. Keys that stand in many runs (a passage that very many
+   documents share) are dealt by finer keys instead, those of grams that lack ``SPARE`` bytes of a string, so that a bucket never
+   holds all contexts of such a passage. A pack holds as many runs as fit ``HELD`` bytes or ``HELD_KEYS`` keys: packs
+   by run would make runs x buckets rows, each of less the larger the table is.
 4. In a bucket, the distinct stretches go to a logarithmic family of suffix arrays batch by batch, in ascending order of the
    smallest doc_id that has them. A new batch gets its suffix array (the places of its strings in its bytes, in the order
    of the strings, and the smallest doc_id of each) and is merge-scanned against each level that stands, for strings
@@ -46,7 +48,8 @@ from pyspark.sql import types as T
 
 from cellweave.llm._shared import fresh, opened, rows_in, stored, work_dir
 
-GRAM, RUN_BYTES, STEP = 16, 4 << 20, 1 << 18
+GRAM, SHORT, SPARE, RUN_BYTES, STEP = 24, 16, 6, 4 << 20, 1 << 15
+HELD, HELD_KEYS = 24 << 20, 1 << 22
 RESULTS = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
@@ -56,15 +59,20 @@ def _mixed(v: np.ndarray) -> np.ndarray:
     return v * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _keys(data: np.ndarray, length: int) -> np.ndarray:
-    """The key of the string at each position of ``data`` (at least ``length`` bytes)."""
-    n = len(data) - GRAM + 1
+def gram_of(length: int) -> int:
+    """Bytes of a gram: short strings need shorter ones, or neighbours would seldom share a key."""
+    return max(SHORT, min(GRAM, length - GRAM - 2))
+
+
+def _keys(data: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The key of the string at each position of ``data`` (at least ``length`` bytes): its smallest hash of ``gram`` bytes."""
+    n = len(data) - gram + 1
     word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,)).copy()
     grams = word[:n]
-    for at in range(8, GRAM, 8):
+    for at in [*range(8, gram - 8, 8), gram - 8]:
         grams = (grams * np.uint64(0xFF51AFD7ED558CCD)) ^ word[at : at + n]
     grams = _mixed(grams)
-    low, width, want = grams, 1, length - GRAM + 1
+    low, width, want = grams, 1, length - gram + 1
     while 2 * width <= want:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
@@ -73,15 +81,17 @@ def _keys(data: np.ndarray, length: int) -> np.ndarray:
     return low
 
 
-def stretches(data: np.ndarray, bounds: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def stretches(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(key, document, first position, strings) of the stretches with one key; ``bounds`` are the documents' ends in ``data``."""
     total = len(data)
     for lo in range(0, max(0, total - length + 1), STEP):
         hi = min(lo + STEP, total - length + 1)
-        keys = _keys(data[lo : hi + length - 1], length)
+        keys = _keys(data[lo : hi + length - 1], length, gram)
         at = np.arange(lo, hi)
-        doc = np.searchsorted(bounds, at, side="right")
-        good = at + length <= bounds[doc]
+        one, last = np.searchsorted(bounds, (lo, hi - 1), side="right").tolist()
+        times = np.diff(np.minimum(bounds[one : last + 1], hi), prepend=lo)  # the documents' positions of these
+        doc = np.repeat(np.arange(one, last + 1), times)
+        good = at <= np.repeat(bounds[one : last + 1] - length, times)
         new = np.ones(len(at), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]) | (good[1:] != good[:-1])
         first = np.flatnonzero(new)
@@ -126,12 +136,19 @@ def _from_six(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+_packer, _unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _small(data: bytes) -> bytes:
-    return zstandard.compress(data, 1)
+    return _packer.compress(data)
 
 
 def _whole(data: bytes) -> bytes:
-    return zstandard.decompress(data)
+    return _unpacker.decompress(data)
+
+
+def _u4(values) -> bytes:
+    return np.array(values, "<u4").tobytes()
 
 
 class Level(NamedTuple):
@@ -197,8 +214,8 @@ class SuffixDedup:
     """One run over a table; see the module."""
 
     def __init__(self, spark: SparkSession, length: int, hot_runs: int, bucket_bytes: int, batch_strings: int):
-        if length < GRAM:
-            raise ValueError(f"length must be at least {GRAM}")
+        if length < SHORT:
+            raise ValueError(f"length must be at least {SHORT}")
         self.spark, self.length, self.hot_runs, self.bucket_bytes, self.batch_strings = spark, length, hot_runs, bucket_bytes, batch_strings
 
     def write(self, docs: DataFrame, folder: str) -> None:
@@ -215,34 +232,43 @@ class SuffixDedup:
         return self.files.repartition(self.count)
 
     def shared_keys(self) -> DataFrame:
-        """(file, run, keys, hot) of the keys that stand in more than one document."""
+        """(file, runs, counts, keys, hot) of the keys that stand in more than one document: packs of the keys of some runs."""
         bits, length, hot_runs, own = self.bits, self.length, self.hot_runs, self.own
 
+        def packed(file: str, held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            """A row for each bucket that has keys; held: run, keys in order, which of them several documents have."""
+            edges = np.arange((1 << bits) + 1, dtype=np.uint64)
+            cuts = np.array([np.searchsorted(k >> np.uint64(48 - bits), edges) for _, k, _ in held])
+            counts, runs, out = np.diff(cuts), np.array([r for r, _, _ in held], "<u4"), []
+            for b in np.flatnonzero(counts.any(axis=0)).tolist():
+                mine = np.flatnonzero(counts[:, b]).tolist()
+                keys, several = (np.concatenate([held[i][x][cuts[i, b] : cuts[i, b + 1]] for i in mine]) for x in (1, 2))
+                out.append((b, file, runs[mine].tobytes(), _u4(counts[mine, b]), _six(keys), np.packbits(several).tobytes()))
+            columns = zip(*out, strict=True)
+            kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "file", "runs", "counts", "keys", "flags"])
+
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for (file,) in rows_in(batches, "file"):
+                held, size = [], 0
                 for run, _, table in runs_of(file, own):
                     data, ends, _, ids = _loaded(table, own)
-                    parts = [(k, ids[d]) for k, d, _, _ in stretches(data, ends, length)]
+                    parts = [(k, ids[d]) for k, d, _, _ in stretches(data, ends, length, gram_of(length))]
                     if not parts:
                         continue
                     keys, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    order = np.lexsort((docs, keys))
+                    if not len(keys):
+                        continue
+                    order = np.argsort(keys)
                     keys, docs = keys[order], docs[order]
                     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                    last = np.append(first[1:], len(keys)) - 1
-                    several, keys = docs[first] != docs[last], keys[first]
-                    cuts = np.searchsorted(keys >> np.uint64(48 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                    found = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([b for b, _, _ in found], pa.int32()),
-                            pa.array([file] * len(found)),
-                            pa.array([run] * len(found), pa.int32()),
-                            pa.array([_six(keys[lo:hi]) for _, lo, hi in found], pa.binary()),
-                            pa.array([np.packbits(several[lo:hi]).tobytes() for _, lo, hi in found], pa.binary()),
-                        ],
-                        names=["bucket", "file", "run", "keys", "flags"],
-                    )
+                    held.append((run, keys[first], np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)))
+                    size += len(first)
+                    if size >= HELD_KEYS:
+                        yield packed(file, held)
+                        held, size = [], 0
+                if held:
+                    yield packed(file, held)
 
         def report(table: pa.Table) -> pa.Table:
             told = [_from_six(x) for x in table["keys"].to_pylist()]
@@ -252,61 +278,83 @@ class SuffixDedup:
             shared = (counts > 1) | (np.bincount(inverse, several) > 0)
             keep, hot = shared[inverse], (counts > hot_runs)[inverse]
             out, at = [], 0
-            for file, run, k in zip(table["file"].to_pylist(), table["run"].to_pylist(), told, strict=True):
-                mine = keep[at : at + len(k)]
+            for file, runs, sizes, k in zip(*(table[c].to_pylist() for c in ("file", "runs", "counts")), told, strict=True):
+                mine, sizes = keep[at : at + len(k)], np.frombuffer(sizes, "<u4").astype(np.int64)
                 if mine.any():
-                    out.append((file, run, _six(k[mine]), hot[at : at + len(k)][mine].astype(np.uint8).tobytes()))
+                    left = np.add.reduceat(mine.astype(np.int64), np.cumsum(sizes) - sizes)
+                    out.append((file, runs, _u4(left), _six(k[mine]), np.packbits(hot[at : at + len(k)][mine]).tobytes()))
                 at += len(k)
-            return pa.Table.from_pylist([dict(zip(("file", "run", "keys", "hot"), r, strict=True)) for r in out], pa.schema([("file", pa.string()), ("run", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())]))
+            names = ("file", "runs", "counts", "keys", "hot")
+            return pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in out], pa.schema([(n, pa.string() if n == "file" else pa.binary()) for n in names]))
 
-        sent = self.each_file().mapInArrow(send, "bucket int, file string, run int, keys binary, flags binary")
-        return sent.groupBy("bucket").applyInArrow(report, "file string, run int, keys binary, hot binary")
+        sent = self.each_file().mapInArrow(send, "bucket int, file string, runs binary, counts binary, keys binary, flags binary")
+        return sent.groupBy("bucket").applyInArrow(report, "file string, runs binary, counts binary, keys binary, hot binary")
 
     def candidates(self, shared: DataFrame) -> DataFrame:
         """The stretches with shared keys, packed by (bucket, file, run): their bytes, and the places where they stand."""
         bits, length, own = self.bits, self.length, self.own
         kinds = pa.schema([("bucket", pa.int32()), ("file", pa.string()), ("run", pa.int32()), ("sizes", pa.binary()), ("strings", pa.binary()), ("entry", pa.binary()), ("doc", pa.binary()), ("row", pa.binary()), ("start", pa.binary())])
 
-        def pick(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import xxhash
+        def packed(file: str, run: int, buckets: dict) -> pa.RecordBatch:
+            out = []
+            for bucket, (entries, *places) in buckets.items():
+                entry, docs, at_row, at = (np.array(x, k).tobytes() for x, k in zip(places, ("<u4", "<i8", "<u4", "<u4"), strict=True))
+                out.append((bucket, file, run, *map(_small, (_u4([len(x) for x in entries]), b"".join(entries), entry, docs, at_row, at))))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+        def finer(data: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """(key, which stretch, first position, strings) of what stretches fall into by their strings' finer keys."""
+            size = count + length - 1
+            ends = np.cumsum(size)
+            begin = ends - size
+            parts = list(stretches(data[np.repeat(at - begin, size) + np.arange(ends[-1])], ends, length, max(SHORT, length - SPARE)))
+            keys, of, p, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return keys, of, at[of] + p - begin[of], n
 
+        def pick(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_run, file = defaultdict(list), ""
-            for file, run, keys, hot in rows_in(group, "file", "run", "keys", "hot"):
-                by_run[run].append((_from_six(keys), np.frombuffer(hot, np.uint8)))
+            for file, runs, counts, keys, hot in rows_in(group, "file", "runs", "counts", "keys", "hot"):
+                cuts = np.cumsum(np.frombuffer(counts, "<u4"), dtype=np.int64)[:-1]
+                keys = _from_six(keys)
+                for run, k, h in zip(np.frombuffer(runs, "<u4").tolist(), np.split(keys, cuts), np.split(np.unpackbits(np.frombuffer(hot, np.uint8))[: len(keys)], cuts), strict=True):
+                    if len(k):
+                        by_run[run].append((k, h))
+            buckets: dict[int, tuple[dict, list, list, list, list]] = defaultdict(lambda: ({}, [], [], [], []))
+            held = 0
             for run, first_row, table in runs_of(file, own):
                 if run not in by_run:
                     continue
-                out = []
-                known, hot = (np.concatenate(x) for x in zip(*by_run[run], strict=True))
+                known, hot = (np.concatenate(x) for x in zip(*by_run.pop(run), strict=True))
                 order = np.argsort(known)
-                known, hot = known[order], hot[order]
+                known, hot = known[order], hot[order].astype(bool)
                 data, ends, rows, ids = _loaded(table, own)
                 raw, begins = data.tobytes(), np.append(0, ends[:-1])
-                buckets: dict[int, tuple[dict, list, list, list, list]] = defaultdict(lambda: ({}, [], [], [], []))
-
-                def put(bucket: int, text: bytes, doc: int, row: int, start: int, buckets: dict = buckets) -> None:
-                    entries, entry, docs, at_row, at = buckets[bucket]
-                    entry.append(entries.setdefault(text, len(entries)))
-                    docs.append(doc)
-                    at_row.append(row)
-                    at.append(start)
-
-                for keys, doc, at, count in stretches(data, ends, length):
+                for keys, doc, at, count in stretches(data, ends, length, gram_of(length)):
                     place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    hit = np.flatnonzero(known[place] == keys)
-                    told = (keys[hit] >> np.uint64(48 - bits), hot[place[hit]], ids[doc[hit]], rows[doc[hit]] + first_row, at[hit], at[hit] - begins[doc[hit]], count[hit])
-                    for bucket, crowded, doc_id, row, p, start, n in zip(*(x.tolist() for x in told), strict=True):
-                        if crowded:
-                            for i in range(n):
-                                text = raw[p + i : p + i + length]
-                                put(xxhash.xxh64_intdigest(text) >> (64 - bits), text, doc_id, row, start + i)
-                        else:
-                            put(bucket, raw[p : p + n - 1 + length], doc_id, row, start)
-                for bucket, (entries, *places) in buckets.items():
-                    entry, docs, at_row, at = (np.array(x, k).tobytes() for x, k in zip(places, ("<u4", "<i8", "<u4", "<u4"), strict=True))
-                    sizes = np.array([len(x) for x in entries], "<u4").tobytes()
-                    out.append((bucket, file, run, *map(_small, (sizes, b"".join(entries), entry, docs, at_row, at))))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kinds)], schema=kinds)
+                    found, crowded = known[place] == keys, hot[place]
+                    told = [x[found & ~crowded] for x in (keys, doc, at, count)]
+                    if len(split := np.flatnonzero(found & crowded)):
+                        keys, of, p, n = finer(data, at[split], count[split])
+                        told = [np.concatenate(x) for x in zip(told, (keys, doc[split[of]], p, n), strict=True)]
+                    keys, doc, at, count = told
+                    columns = (keys >> np.uint64(48 - bits), ids[doc], rows[doc] + first_row, at, at - begins[doc], count + (length - 1))
+                    for bucket, doc_id, row, p, start, n in zip(*(x.tolist() for x in columns), strict=True):
+                        entries, entry, docs, at_row, starts = buckets[bucket]
+                        text, new = raw[p : p + n], len(entries)
+                        i = entries.setdefault(text, new)
+                        if i == new:
+                            held += n
+                        entry.append(i)
+                        docs.append(doc_id)
+                        at_row.append(row)
+                        starts.append(start)
+                    held += 20 * len(keys)
+                    if held >= HELD:
+                        yield packed(file, run, buckets)
+                        buckets.clear()
+                        held = 0
+            if buckets:
+                yield packed(file, run, buckets)
 
         return shared.groupBy("file").applyInArrow(pick, "bucket int, file string, run int, sizes binary, strings binary, entry binary, doc binary, row binary, start binary")
 

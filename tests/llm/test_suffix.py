@@ -69,3 +69,59 @@ def test_batches_are_scanned_against_standing_levels():
     for level in family.levels.values():
         strings = [level.data[i : i + 4].tobytes() for i in level.at.tolist()]
         assert strings == sorted(set(strings))
+
+
+def candidates(frame, folder, hot_runs=512, bucket_bytes=8 << 20):
+    """(bucket, file, strings of the distinct stretches, places, strings at the places) of each packet."""
+    work = suffix_family.SuffixDedup(frame.sparkSession, 50, hot_runs, bucket_bytes, 1 << 17)
+    work.write(frame, f"file://{folder}")
+    out = []
+    for r in work.candidates(work.shared_keys()).collect():
+        sizes, entry = (np.frombuffer(suffix_family._whole(r[c]), "<u4").astype(np.int64) for c in ("sizes", "entry"))
+        out.append((r.bucket, r.file, (sizes - 49).sum(), len(entry), (sizes - 49)[entry].sum()))
+    return out
+
+
+def letters(rng, size):
+    return rng.integers(97, 123, size).astype(np.uint8).tobytes().decode()
+
+
+def test_packets_do_not_grow_as_runs_by_buckets(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    parts = [letters(rng, 1000) for _ in range(450)]
+    docs = [(i, letters(rng, 19_000) + parts[i % 450]) for i in range(900)]  # more than 4 runs of 4 MB in one file
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    told = candidates(frame, tmp_path / "a", bucket_bytes=1 << 18)
+    assert len({b for b, *_ in told}) >= 64
+    assert len(told) == len({(b, f) for b, f, *_ in told})
+    rows = suffix_family.remove_repeats(frame, bucket_bytes=1 << 18).collect()
+    assert {(r.doc_id, r.n_removed >= 1000) for r in rows} == {(i, i >= 450) for i in range(900)}
+
+
+def test_crowded_keys_are_not_dealt_by_single_strings(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    common = letters(rng, 400)
+    docs = [(i, letters(rng, 100) + common + letters(rng, 100)) for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    told = candidates(frame, tmp_path / "a", hot_runs=0)
+    assert 3 * sum(n for *_, n, _ in told) < sum(n for *_, n in told)
+    assert len({b for b, *_ in told}) > 1
+    assert got(frame, hot_runs=0) == got(frame) == slow(docs)
+
+
+def test_short_grams_that_recur_are_no_candidates(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    words = [letters(rng, 20) for _ in range(5)]
+    docs = [(i, "".join(w + letters(rng, 15) for w in words)) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert candidates(frame, tmp_path / "a") == []
+    assert got(frame) == slow(docs)
+
+
+@pytest.mark.parametrize("length", [16, 23, 31, 50, 77])
+def test_lengths(spark, length):
+    rng = random.Random(length)
+    common = ["".join(rng.choice("abc") for _ in range(120)) for _ in range(3)] + ["z" * 90]
+    docs = [(i % 30, "".join(c[rng.randrange(60) : rng.randrange(60, 120)] for c in rng.choices(common, k=4))) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    assert got(frame, length=length) == got(frame, length=length, hot_runs=0) == slow(docs, length)
