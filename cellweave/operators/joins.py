@@ -81,15 +81,19 @@ def reproject(x: np.ndarray, y: np.ndarray, source: str, target: str) -> tuple[n
     return np.asarray(x, float), np.asarray(y, float)
 
 
+def boxes_in(boxes: np.ndarray, source: str, target: str, steps: int = 8) -> np.ndarray:
+    """Boxes (rows of xmin, ymin, xmax, ymax) in another CRS: the boxes there of points along their edges."""
+    t = np.linspace(0, 1, steps + 1)
+    xs = boxes[:, 0:1] + t * (boxes[:, 2:3] - boxes[:, 0:1])
+    ys = boxes[:, 1:2] + t * (boxes[:, 3:4] - boxes[:, 1:2])
+    first, last = (lambda v: np.repeat(v[:, :1], steps + 1, axis=1)), (lambda v: np.repeat(v[:, -1:], steps + 1, axis=1))
+    x, y = reproject(np.concatenate([xs, xs, first(xs), last(xs)], axis=1), np.concatenate([first(ys), last(ys), ys, ys], axis=1), source, target)
+    return np.stack([x.min(axis=1), y.min(axis=1), x.max(axis=1), y.max(axis=1)], axis=1)
+
+
 def box_in(extent: dict, source: str, target: str, steps: int = 8) -> tuple[float, float, float, float]:
     """The box in another CRS of points along the edges of a box."""
-    t = np.linspace(0, 1, steps + 1)
-    xs = extent["xmin"] + t * (extent["xmax"] - extent["xmin"])
-    ys = extent["ymin"] + t * (extent["ymax"] - extent["ymin"])
-    edge_x = np.concatenate([xs, xs, np.full(len(t), xs[0]), np.full(len(t), xs[-1])])
-    edge_y = np.concatenate([np.full(len(t), ys[0]), np.full(len(t), ys[-1]), ys, ys])
-    x, y = reproject(edge_x, edge_y, source, target)
-    return float(x.min()), float(y.min()), float(x.max()), float(y.max())
+    return tuple(float(v) for v in boxes_in(np.array([[extent[k] for k in ("xmin", "ymin", "xmax", "ymax")]], float), source, target, steps)[0])
 
 
 def _moved(df: DataFrame, extent: str, crs: str, to: str, prefix: str) -> DataFrame:

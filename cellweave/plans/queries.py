@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rf.register(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores: a file of narrow rows is one task or a few, however much work each row is."""
+    return df.repartition(max(24, 2 * df.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, t."""
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", rf.rf_array_to_tile(F.col("embedding").cast("array<double>"), 8, 8).alias("t"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellweave import functions as rf
 from cellweave.operators import cells as C
 from cellweave.operators import layers as L
-from cellweave.plans.queries import _CELLS, _PAIRS, QUERIES, SQL, digest, local, pairs, quantity_tiles, query, table
+from cellweave.plans.queries import _CELLS, _PAIRS, QUERIES, SQL, digest, local, pairs, quantity_tiles, query, spread, table
 
 _SUMS = "select vec_id, count(z) as n, round(coalesce(sum(z), 0), 4) as s, round(coalesce(sum(z * i), 0), 4) as w from e group by vec_id"
 _NEAR = "from c join c n on n.vec_id = c.vec_id and abs((n.i - 1) // 8 - (c.i - 1) // 8) <= 1 and abs((n.i - 1) % 8 - (c.i - 1) % 8) <= 1 group by c.vec_id, c.i"
@@ -76,7 +76,7 @@ _POINTS = "select c_custkey as k, (c_custkey % 360 - 180)::double as x, (c_custk
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("k"), (F.pmod(k, F.lit(360)) - 180).cast("double").alias("x"), (F.pmod(k, F.lit(170)) - 85).cast("double").alias("y"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.alias("k"), (F.pmod(k, F.lit(360)) - 180).cast("double").alias("x"), (F.pmod(k, F.lit(170)) - 85).cast("double").alias("y"))
 
 
 @query(f"select k, round(2 * 6371008.7714 * asin(least(1, sqrt(pow(sin(radians(y - 10) / 2), 2) + cos(radians(10)) * cos(radians(y)) * pow(sin(radians(x - 20) / 2), 2)))), 2) as metres from ({_POINTS})")
