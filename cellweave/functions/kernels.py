@@ -38,24 +38,32 @@ RAMPS = {
 
 def matrices(tiles: pa.Array) -> Iterator[tuple[str, np.ndarray] | None]:
     """(cell type, matrix) of each tile, or None."""
-    kinds, rows, cells = (tiles.field(n) for n in ("cell_type", "rows", "cells"))
-    for i in range(len(tiles)):
-        if not tiles[i].is_valid:
-            yield None
-            continue
-        flat = cells[i].values.to_numpy(zero_copy_only=False).astype(float)
-        yield kinds[i].as_py(), flat.reshape(rows[i].as_py(), -1)
+    kinds, rows, cells = tiles.field("cell_type").to_pylist(), tiles.field("rows").to_pylist(), tiles.field("cells")
+    starts, flat = cells.offsets.to_numpy().tolist(), cells.values.to_numpy(zero_copy_only=False).astype(float)
+    for i, valid in enumerate(tiles.is_valid().to_pylist()):
+        yield (kinds[i], flat[starts[i] : starts[i + 1]].reshape(rows[i], -1)) if valid else None
 
 
 def to_tiles(found: list[tuple[str, np.ndarray] | None]) -> pa.Array:
-    values = []
-    for t in found:
-        if t is None:
-            values.append(None)
-            continue
-        flat = np.asarray(t[1], float).ravel()
-        values.append({"cell_type": t[0], "cols": t[1].shape[1], "rows": t[1].shape[0], "cells": pa.array(flat, mask=np.isnan(flat)).to_pylist()})
-    return pa.array(values, ARROW_TILE)
+    flat = [np.zeros(0) if t is None else np.asarray(t[1], float).ravel() for t in found]
+    starts = np.concatenate([[0], np.cumsum([len(v) for v in flat])]).astype(np.int32)
+    values = np.concatenate([np.zeros(0), *flat])
+    cells = pa.ListArray.from_arrays(pa.array(starts), pa.array(values, mask=np.isnan(values)))
+    kinds, cols, rows = ([None if t is None else f(t) for t in found] for f in (lambda t: t[0], lambda t: t[1].shape[1], lambda t: t[1].shape[0]))
+    held = [pa.array(kinds, pa.string()), pa.array(cols, pa.int32()), pa.array(rows, pa.int32()), cells]
+    return pa.StructArray.from_arrays(held, fields=list(ARROW_TILE), mask=pa.array([t is None for t in found], pa.bool_()))
+
+
+def alike(keys: list, cells: int) -> Iterator[tuple[object, list[int]]]:
+    """Rows with equal keys (None: none), cut so that ``cells`` numbers a row stay few."""
+    held: dict = {}
+    for i, k in enumerate(keys):
+        if k is not None:
+            held.setdefault(k, []).append(i)
+    for k, rows in held.items():
+        step = max(1, 2_000_000 // max(1, cells))
+        for at in range(0, len(rows), step):
+            yield k, rows[at : at + step]
 
 
 def offsets(neighbourhood: str) -> list[tuple[int, int]]:
@@ -83,11 +91,11 @@ def offsets(neighbourhood: str) -> list[tuple[int, int]]:
 
 
 def stacked(cells: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
-    """The tile moved by each step; NaN beyond it."""
+    """The tile (or each of an array of tiles) moved by each step; NaN beyond it."""
     reach = max((max(abs(r), abs(c)) for r, c in steps), default=0)
-    padded = np.pad(cells, reach, constant_values=np.nan)
-    rows, cols = cells.shape
-    return np.stack([padded[reach + r : reach + r + rows, reach + c : reach + c + cols] for r, c in steps])
+    rows, cols = cells.shape[-2:]
+    padded = np.pad(cells, [(0, 0)] * (cells.ndim - 2) + [(reach, reach)] * 2, constant_values=np.nan)
+    return np.stack([padded[..., reach + r : reach + r + rows, reach + c : reach + c + cols] for r, c in steps])
 
 
 def _mode(windows: np.ndarray) -> np.ndarray:
@@ -124,22 +132,23 @@ def _aimed(cells: np.ndarray, found: np.ndarray, target: str) -> np.ndarray:
 
 def _focal(name: str):
     def function(tiles: pa.Array, neighbourhood: pa.Array, target: pa.Array) -> pa.Array:
-        out = []
-        for t, hood, aim in zip(matrices(tiles), neighbourhood.to_pylist(), target.to_pylist(), strict=True):
-            if t is None:
-                out.append(None)
-                continue
-            with np.errstate(all="ignore"):
-                import warnings
-
+        import warnings
+
+        held, out = list(matrices(tiles)), [None] * len(tiles)
+        keys = [None if t is None else (t[1].shape, hood, aim) for t, hood, aim in zip(held, neighbourhood.to_pylist(), target.to_pylist(), strict=True)]
+        most = max((k[0][0] * k[0][1] * len(offsets(k[1])) for k in {k for k in keys if k}), default=1)
+        for (_, hood, aim), rows in alike(keys, most):
+            cells, steps = np.stack([held[i][1] for i in rows]), offsets(hood)
+            with np.errstate(all="ignore"), warnings.catch_warnings():
                 warnings.simplefilter("ignore")
-                steps = offsets(hood)
                 if name == "moransi":
-                    found = _moran(stacked(t[1], [s for s in steps if s != (0, 0)]), t[1])
+                    around = [s for s in steps if s != (0, 0)]
+                    found = np.stack([_moran(stacked(c, around), c) for c in cells])
                 else:
-                    found = FOCAL[name](stacked(t[1], steps))
-            kind = t[0] if name in ("mode", "max", "min") or t[0].startswith("float") else "float64"
-            out.append((kind, _aimed(t[1], found, aim)))
+                    found = FOCAL[name](stacked(cells, steps))
+            for i, c in zip(rows, _aimed(cells, found, aim), strict=True):
+                kind = held[i][0]
+                out[i] = (kind if name in ("mode", "max", "min") or kind.startswith("float") else "float64", c)
         return to_tiles(out)
 
     return arrow_udf(function, tile_type)
@@ -317,15 +326,22 @@ def _render_ramp(tiles: pa.Array, ramp: pa.Array) -> pa.Array:
 
 def _rasterize(geometry: pa.Array, bounds: pa.Array, value: pa.Array, cols: pa.Array, rows: pa.Array) -> pa.Array:
     from cellweave.functions import geometry as G
-
-    out = []
-    for wkb, e, v, w, h in zip(*(x.to_pylist() for x in (geometry, bounds, value, cols, rows)), strict=True):
-        if wkb is None or e is None:
-            out.append(None)
-            continue
-        x = e["xmin"] + (np.arange(w) + 0.5) * (e["xmax"] - e["xmin"]) / w
-        y = e["ymax"] - (np.arange(h) + 0.5) * (e["ymax"] - e["ymin"]) / h
-        out.append(("int32", np.where(G.covers_points(G.read(wkb), *np.meshgrid(x, y)), float(v), np.nan)))
+    from cellweave.functions.alike import groups
+
+    columns = [x.to_pylist() for x in (bounds, value, cols, rows)]
+    out, left = [None] * len(geometry), np.ones(len(geometry), bool)
+    centres = lambda e, w, h: np.meshgrid(e["xmin"] + (np.arange(w) + 0.5) * (e["xmax"] - e["xmin"]) / w, e["ymax"] - (np.arange(h) + 0.5) * (e["ymax"] - e["ymin"]) / h)
+    keys = [None if e is None else (*(e[k] for k in ("xmin", "ymin", "xmax", "ymax")), w, h) for e, _, w, h in zip(*columns, strict=True)]
+    for at, shapes in groups(geometry):  # geometries of one structure, on one grid
+        for (*e, w, h), some in alike([keys[i] for i in at], max(1, columns[2][at[0]] or 1) * max(1, columns[3][at[0]] or 1)):
+            x, y = centres(dict(zip(("xmin", "ymin", "xmax", "ymax"), e, strict=True)), w, h)
+            for i, burnt in zip(at[some], G.covers_points(shapes.indexed, x, y, shapes.xy[some]), strict=True):
+                out[i], left[i] = ("int32", np.where(burnt, float(columns[1][i]), np.nan)), False
+    wkb = geometry.to_pylist() if left.any() else []
+    for i in np.flatnonzero(left):
+        if wkb[i] is not None and keys[i] is not None:
+            e, v, w, h = (c[i] for c in columns)
+            out[i] = ("int32", np.where(G.covers_points(G.read(wkb[i]), *centres(e, w, h)), float(v), np.nan))
     return to_tiles(out)
 
 

@@ -134,3 +134,26 @@ def test_histograms_and_gaps_against_brute_force(spark):
     assert one == [5.0, -1.0, None, None, None, 4.0]
     whole = spark.createDataFrame([(i % 3, i // 3, float(i)) for i in range(6)], "c int, r int, v double")
     assert whole.agg(C.assembled("c", "r", "v", 3, 2).alias("t")).first().t.cells == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def test_shapes_are_burnt_in_by_groups(monkeypatch):
+    """Shapes of two structures and sizes of tiles, a hole, a null: as one at a time, and alike shapes at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cellweave.functions import geometry as G
+    from cellweave.functions import kernels as K
+
+    rng = np.random.default_rng(1)
+    boxes = [G.box(*sorted(rng.integers(0, 8, 2) + 0.25), *sorted(rng.integers(2, 9, 2) + 0.5)) for _ in range(40)]
+    holed = [(3, [[(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0), (0.0, 0.0)], [(2.0, 2.0), (4.0 + i, 2.0), (3.0, 5.0), (2.0, 2.0)]]) for i in range(4)]
+    wkb = pa.array([*map(G.write, boxes + holed), G.write((2, [(0.0, 0.0), (1.0, 1.0)])), None], pa.binary())
+    n = len(wkb)
+    bounds = pa.array([{"xmin": 0.0, "ymin": 0.0, "xmax": 8.0, "ymax": 8.0}] * n)
+    sizes = pa.array([8 if i % 3 else 5 for i in range(n)], pa.int32())
+    run = lambda at, k: K._rasterize(*(c.slice(at, k) for c in (wkb, bounds, pa.array(range(n), pa.int32()), sizes, sizes)))
+    one_by_one = [run(i, 1).to_pylist()[0] for i in range(n)]
+    told = [None if w is None else K.to_tiles([("int32", np.where(G.covers_points(G.read(w), *np.meshgrid((np.arange(s) + 0.5) * 8 / s, 8 - (np.arange(s) + 0.5) * 8 / s)), float(i), np.nan))]).to_pylist()[0] for i, (w, s) in enumerate(zip(wkb.to_pylist(), sizes.to_pylist(), strict=True))]
+    monkeypatch.setattr(G, "read", lambda data, read=G.read: read(data) if len(reads.append(1) or reads) <= 8 else pytest.fail("row by row"))
+    reads = []
+    assert run(0, n).to_pylist() == one_by_one == told
