@@ -9,7 +9,7 @@ from cellweave import functions as rf
 from cellweave.operators import cells as C
 from cellweave.operators import joins, learning
 from cellweave.operators import layers as L
-from cellweave.plans.queries import _CELLS, _LINES, pairs, quantity_tiles, query, tiles
+from cellweave.plans.queries import _CELLS, _LINES, pairs, quantity_tiles, query, table, tiles
 from cellweave.plans.spatial import _POINTS, _layer, _points
 
 call = rf.call
@@ -33,12 +33,18 @@ def layer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select (tile_id % 16)::int as col, (1000 - 1 - tile_id // 16)::int as row, sum(q) as total, count(*) as n from ({_LINES}) group by tile_id")
 def layer_from_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles with boxes laid on a layout's grid; boxes drawn in a little, so that they meet one cell each."""
+    """Tiles with boxes laid on a layout's grid; boxes drawn in a little, so that they meet one cell each.
+
+    The grid is as high as the tiles reach, 1,000 rows at least; rows are counted from the top of the 1,000th, and negative above it.
+    """
     e = F.col("extent")
     inner = F.struct((e["xmin"] + 1e-3).alias("xmin"), (e["ymin"] + 1e-3).alias("ymin"), (e["xmax"] - 1e-3).alias("xmax"), (e["ymax"] - 1e-3).alias("ymax"))
     frame = quantity_tiles(spark, sf_dir).select("t", inner.alias("extent"), "crs")
-    made = L.to_layer(frame, L.Layout(0.0, 0.0, 16_000.0, 1_000_000.0, "EPSG:3857", 16, 1000, 7, 8))
-    return made.select("spatial_key.col", "spatial_key.row", rf.rf_tile_sum("t").alias("total"), rf.rf_data_cells("t").alias("n")).where("n > 0")
+    last = table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0]
+    down = max(1000, (last or 0) // 128 + 1)  # eight orders a tile, 16 tiles a row
+    made = L.to_layer(frame, L.Layout(0.0, 0.0, 16_000.0, down * 1000.0, "EPSG:3857", 16, down, 7, 8))
+    row = (F.col("spatial_key.row") - (down - 1000)).cast("int").alias("row")
+    return made.select("spatial_key.col", row, rf.rf_tile_sum("t").alias("total"), rf.rf_data_cells("t").alias("n")).where("n > 0")
 
 
 @query(f"with h as ({_LINES}) select (tile_id % 16)::int as col, (tile_id // 16 * 2 + r // 4)::int as row, sum(q) as total, count(*) as n from h group by tile_id, r // 4")
