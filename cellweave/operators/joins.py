@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave import functions as rf
-from cellweave.functions.kernels import matrices, resampled, to_tiles
+from cellweave.functions.kernels import alike, matrices, resampled, to_tiles
 from cellweave.operators.cells import tile_columns
 from cellweave.tiles import TILE
 
@@ -96,6 +96,13 @@ def box_in(extent: dict, source: str, target: str, steps: int = 8) -> tuple[floa
     return tuple(float(v) for v in boxes_in(np.array([[extent[k] for k in ("xmin", "ymin", "xmax", "ymax")]], float), source, target, steps)[0])
 
 
+def _sides_of(extents: pa.StructArray) -> np.ndarray:
+    """xmin, ymin, xmax, ymax of each row; NaN where there is no box."""
+    sides = np.stack([extents.field(n).to_numpy(zero_copy_only=False).astype(float) for n in ("xmin", "ymin", "xmax", "ymax")], axis=1)
+    sides[~extents.is_valid().to_numpy(zero_copy_only=False)] = np.nan
+    return sides
+
+
 def _moved(df: DataFrame, extent: str, crs: str, to: str, prefix: str) -> DataFrame:
     """With the box in ``to`` as columns; plain arithmetic where the CRS is the same."""
     kinds = T.StructType([*df.schema.fields, *(T.StructField(f"{prefix}{n}", T.DoubleType()) for n in ("x0", "y0", "x1", "y1"))])
@@ -103,10 +110,14 @@ def _moved(df: DataFrame, extent: str, crs: str, to: str, prefix: str) -> DataFr
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            extents, systems = (b.column(b.schema.get_field_index(n)).to_pylist() for n in (extent, crs))
-            boxes = [box_in(e, c, to) if e is not None and c is not None else (None,) * 4 for e, c in zip(extents, systems, strict=True)]
+            extents, systems = b.column(b.schema.get_field_index(extent)), b.column(b.schema.get_field_index(crs)).to_pylist()
+            sides = _sides_of(extents)
+            boxes = np.full((len(b), 4), np.nan)
+            for c, rows in alike([None if e is None else e for e in systems], 1):
+                boxes[rows] = boxes_in(sides[rows], c, to)
+            lost = np.isnan(sides).any(axis=1) | np.array([c is None for c in systems], bool)
             for i, n in enumerate(names):
-                b = b.append_column(n, pa.array([x[i] for x in boxes], pa.float64()))
+                b = b.append_column(n, pa.array(np.ascontiguousarray(boxes[:, i]), mask=lost))
             yield b
 
     same = df.where(F.col(crs) != to).isEmpty()
@@ -167,13 +178,16 @@ def raster_join(
         def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 lefts, rights = b.column(b.schema.get_field_index("_left")), b.column(b.schema.get_field_index("_right"))
-                le, lc, re_, rc = (s.field(n).to_pylist() for s, n in ((lefts, left_extent), (lefts, left_crs), (rights, right_extent), (rights, right_crs)))
+                (le, lc), (re_, rc) = ((_sides_of(s.field(e)), s.field(c).to_pylist()) for s, e, c in ((lefts, left_extent, left_crs), (rights, right_extent, right_crs)))
                 shapes = [(256, 256)] * len(b) if grid is None else [None if t is None else t[1].shape for t in matrices(lefts.field(left_tiles[0]))]
-                good = [rights[i].is_valid and shapes[i] is not None and le[i] is not None and re_[i] is not None for i in range(len(b))]
+                good = rights.is_valid().to_numpy(zero_copy_only=False) & ~np.isnan(le).any(axis=1) & ~np.isnan(re_).any(axis=1)
                 for n, t in zip(names, right_tiles, strict=True):
-                    found = []
-                    for i, m in enumerate(matrices(rights.field(t))):
-                        found.append((m[0], laid(m[1], re_[i], rc[i], le[i], lc[i], shapes[i], resampling)) if good[i] and m is not None else None)
+                    held = list(matrices(rights.field(t)))
+                    keys = [(m[1].shape, rc[i], lc[i], shapes[i]) if good[i] and m is not None and shapes[i] is not None else None for i, m in enumerate(held)]
+                    found = [None] * len(b)
+                    for (_, source, target, shape), rows in alike(keys, max((k[3][0] * k[3][1] for k in keys if k), default=1)):
+                        for i, cells in zip(rows, laid(np.stack([held[i][1] for i in rows]), re_[rows], source, le[rows], target, shape, resampling), strict=True):
+                            found[i] = (held[i][0], cells)
                     b = b.append_column(n, to_tiles(found))
                 yield b
 
@@ -196,21 +210,28 @@ def _merged(items, tile: str):
     return F.aggregate(tiles, F.lit(None).cast(TILE), over)
 
 
-def laid(cells: np.ndarray, source: dict, source_crs: str, target: dict, target_crs: str, shape: tuple[int, int], method: str) -> np.ndarray:
-    """The part of a tile that lies on another grid."""
+def laid(cells: np.ndarray, source: np.ndarray, source_crs: str, target: np.ndarray, target_crs: str, shape: tuple[int, int], method: str) -> np.ndarray:
+    """Of each of an array of tiles the part that lies on another grid; ``source`` and ``target`` are their boxes."""
     rows, cols = shape
-    width, height = (target["xmax"] - target["xmin"]) / cols, (target["ymax"] - target["ymin"]) / rows
+    side = lambda e, i: e[:, i, None]
+    width, height = (side(target, 2) - side(target, 0)) / cols, (side(target, 3) - side(target, 1)) / rows
     if not method.lower().startswith("nearest"):  # to the resolution of the target first
-        r = max(1, round((source["ymax"] - source["ymin"]) / height)) if source_crs == target_crs else cells.shape[0]
-        c = max(1, round((source["xmax"] - source["xmin"]) / width)) if source_crs == target_crs else cells.shape[1]
-        cells = resampled(cells, r, c, method)
-    x = target["xmin"] + (np.arange(cols) + 0.5) * width
-    y = target["ymax"] - (np.arange(rows) + 0.5) * height
-    px, py = (v.reshape(rows, cols) for v in reproject(*(g.ravel() for g in np.meshgrid(x, y)), target_crs, source_crs))
-    c = np.floor((px - source["xmin"]) / (source["xmax"] - source["xmin"]) * cells.shape[1]).astype(int)
-    r = np.floor((source["ymax"] - py) / (source["ymax"] - source["ymin"]) * cells.shape[0]).astype(int)
-    good = (c >= 0) & (c < cells.shape[1]) & (r >= 0) & (r < cells.shape[0])
-    return np.where(good, cells[np.clip(r, 0, cells.shape[0] - 1), np.clip(c, 0, cells.shape[1] - 1)], np.nan)
+        many = lambda at, of, size, n: np.maximum(1, np.round((of[:, at + 2] - of[:, at]) / size[:, 0])).astype(int) if source_crs == target_crs else np.full(len(of), n)
+        sizes = list(zip(many(1, source, height, cells.shape[1]).tolist(), many(0, source, width, cells.shape[2]).tolist(), strict=True))
+        out = np.empty((len(cells), rows, cols))
+        for size, some in alike(sizes, 1):
+            made = np.stack([resampled(cells[i], *size, method) for i in some])
+            out[some] = laid(made, source[some], source_crs, target[some], target_crs, shape, "nearest")
+        return out
+    x = side(target, 0) + (np.arange(cols) + 0.5) * width
+    y = side(target, 3) - (np.arange(rows) + 0.5) * height
+    px, py = np.broadcast_arrays(x[:, None, :], y[:, :, None])
+    px, py = reproject(px, py, target_crs, source_crs)
+    box = lambda i: source[:, i, None, None]
+    c = np.floor((px - box(0)) / (box(2) - box(0)) * cells.shape[2]).astype(int)
+    r = np.floor((box(3) - py) / (box(3) - box(1)) * cells.shape[1]).astype(int)
+    good = (c >= 0) & (c < cells.shape[2]) & (r >= 0) & (r < cells.shape[1])
+    return np.where(good, cells[np.arange(len(cells))[:, None, None], np.clip(r, 0, cells.shape[1] - 1), np.clip(c, 0, cells.shape[2] - 1)], np.nan)
 
 
 _SIDES = ("xmin", "ymin", "xmax", "ymax")
@@ -220,28 +241,37 @@ def vector_join(shapes: DataFrame, rasters: DataFrame, geometry: str = "geometry
     """Each row of ``shapes`` with each of ``rasters`` whose box satisfies ``predicate(geometry, box)``; both in one CRS.
 
     Boxes are dealt to square cells. A box goes to the level whose cells (``cell`` times a power of two; by default
-    the middle size of the rasters' boxes) are at least its size, so it meets four of them at most, and is told to each coarser level in use; two
+    the middle size of the rasters' boxes) are at least its size, so it meets four of them at most, and is told to each coarser level of the other side; two
     boxes meet at the coarser of their levels alone, in the cell that holds the lower left corner of what they share, so a pair is made once
-    and nothing is joined but on equal keys. Boxes are compared before the predicate is asked. Null geometries and boxes join nothing.
+    and nothing is joined but on equal keys. Boxes beyond the whole of the other side are left out first, and boxes are compared before the predicate is asked. Null geometries and boxes join nothing.
     """
-    spark = rf.register(shapes.sparkSession)
+    rf.register(shapes.sparkSession)
     size = lambda e: F.greatest(e["xmax"] - e["xmin"], e["ymax"] - e["ymin"])
+    boxes = {"a": shapes.select(rf.call("st_extent", F.col(geometry)).alias("box")), "b": rasters.select(F.col(extent).alias("box"))}
+    middle = F.percentile_approx(size(F.col("box")), 0.5).alias("middle")
+    whole = {k: df.agg(*(f(f"box.{v}").alias(v) for f, v in zip((F.min, F.min, F.max, F.max), _SIDES, strict=True)), *([middle] if k == "b" and cell is None else [])).first() for k, df in boxes.items()}
     if cell is None:
-        middle = rasters.where(F.col(extent).isNotNull()).agg(F.percentile_approx(size(F.col(extent)), 0.5)).first()[0]
-        cell = middle or 1.0
+        cell = whole["b"].middle or 1.0
+
+    def reached(other: str) -> Column:
+        """A box meets the whole of the other side; beyond it nothing is dealt."""
+        low, high = (tuple(F.lit(whole[other][v]) for v in vs) for vs in (_SIDES[:2], _SIDES[2:]))
+        at = lambda v: F.col(f"box.{v}")
+        return (at("xmin") <= high[0]) & (at("ymin") <= high[1]) & (at("xmax") >= low[0]) & (at("ymax") >= low[1])
 
     def levelled(df: DataFrame, box: Column, row: str) -> DataFrame:
-        held = df.select(F.struct(*(df[c] for c in df.columns)).alias(row), box.alias("box")).where("box is not null")
+        held = df.select(F.struct(*(df[c] for c in df.columns)).alias(row), box.alias("box")).where("box is not null").where(reached("b" if row == "a" else "a"))
         level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size(F.col("box")), F.lit(1e-300)) / cell))).cast("int")
         return held.withColumn("own", level)
 
     a = levelled(shapes, rf.call("st_extent", F.col(geometry)), "a")
     b = levelled(rasters, F.col(extent), "b")
-    levels = sorted({r.own for df in (a, b) for r in df.select("own").distinct().collect()})  # a few dozen at most
+    levels = {side: sorted(r.own for r in df.select("own").distinct().collect()) for side, df in (("a", a), ("b", b))}  # a few dozen at most
 
     def dealt(df: DataFrame, side: str) -> DataFrame:
-        known = F.array(*(F.lit(n) for n in levels)) if levels else F.array().cast("array<int>")
-        told = df.withColumn("level", F.explode(F.filter(known, lambda n: n >= F.col("own"))))
+        theirs = levels["b" if side == "a" else "a"]
+        coarser = F.filter(F.array(*(F.lit(n) for n in theirs)), lambda n: n > F.col("own")) if theirs else F.array().cast("array<int>")
+        told = df.withColumn("level", F.explode(F.concat(F.array("own"), coarser)))
         width = F.lit(cell) * F.pow(F.lit(2.0), "level")
         at = lambda v: F.floor(F.col(f"box.{v}") / width)
         told = told.withColumn("cx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("cy", F.explode(F.sequence(at("ymin"), at("ymax"))))

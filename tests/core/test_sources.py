@@ -163,3 +163,42 @@ def test_transformers(spark, layer, tmp_path):
     kept.save(f"file://{tmp_path}/f")
     assert NoDataFilter.load(f"file://{tmp_path}/f").getInputCols() == ["tile", "other"]
     assert struct.calcsize("<d") == 8
+
+
+def test_layer_of_rasters_higher_than_a_thousand_rows(spark, tmp_path):
+    """Tiles above the layout's first 1,000 rows stay, with negative rows as in the SQL."""
+    import duckdb
+
+    from cellweave.plans import layered
+    from cellweave.plans.queries import SQL
+
+    duckdb.sql(f"copy (select unnest([0, 9, 127999, 128000, 140003, 192077]) as l_orderkey, 1::int as l_linenumber, 2.0::double as l_quantity) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    lineitem = duckdb.read_parquet(f"{tmp_path}/lineitem.parquet")
+    told = lineitem.query("lineitem", f"select col, row, total, n from ({SQL['layer_from_rasters']})").fetchall()
+    got = layered.layer_from_rasters(spark, str(tmp_path)).select("col", "row", "total", "n").collect()
+    assert len(told) == 6 and sorted(map(tuple, got)) == sorted(told)
+
+
+def test_margin_without_neighbours_and_with_null_tiles(spark, layer):
+    """A tile alone has no data around it; a null tile takes what its neighbours send."""
+    one = L.with_margin(layer.where("spatial_key.col = 0 and spatial_key.row = 0"), "tile", 2).first()
+    cells = Tile.from_row(one.tile_wide).cells
+    assert cells.shape == (8, 8) and cells.count() == 16
+    gap = L.as_layer(layer.withColumn("tile", F.when(F.expr("spatial_key.col > 0"), F.col("tile"))), L.layer_layout(layer))
+    found = L.with_margin(gap, "tile", 1).where("spatial_key.col = 0 and spatial_key.row = 0").first()
+    assert found.tile is None and Tile.from_row(found.tile_wide).cells.count() == 5
+
+
+@pytest.mark.parametrize("sizes", [(1, 3), (0.2, 9)])
+def test_vector_join_of_all_sizes(spark, sizes):
+    """Shapes of several levels, some beyond all tiles and tiles beyond all shapes, against every pair."""
+    from cellweave.operators.joins import vector_join
+
+    rf.register(spark)
+    rng = np.random.default_rng(3)
+    boxes = [[(i, float(x), float(y), float(x + d), float(y + d)) for i, (x, y, d) in enumerate(zip(*rng.integers(at, 30 + at, (2, 40)), rng.choice(sizes, 40), strict=True))] for at in (0, 20)]
+    a, b = (spark.createDataFrame(rows, "id int, x0 double, y0 double, x1 double, y1 double") for rows in boxes)
+    e = lambda df: df.select("id", F.struct(*(F.col(c).alias(n) for c, n in zip(("x0", "y0", "x1", "y1"), ("xmin", "ymin", "xmax", "ymax"), strict=True))).alias("extent"))
+    got = vector_join(e(a).select("id", rf.call("st_geometry", "extent").alias("geometry")), e(b).withColumnRenamed("id", "other"))
+    want = sorted((i, j) for i, x0, y0, x1, y1 in boxes[0] for j, u0, v0, u1, v1 in boxes[1] if x0 <= u1 and u0 <= x1 and y0 <= v1 and v0 <= y1)
+    assert want and sorted((r.id, r.other) for r in got.collect()) == want
