@@ -213,18 +213,31 @@ def with_margin(layer: DataFrame, tile: str, cells: int) -> DataFrame:
     steps = [(dc, dr) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
 
     def strip(dc: int, dr: int) -> Column:
-        """What the neighbour at (dc, dr) needs of this tile: (place in its wide tile, value)."""
+        """What the neighbour at (dc, dr) needs of this tile, row by row."""
         c0, c1 = (0, m) if dc == -1 else (w - m, w) if dc == 1 else (0, w)
         r0, r1 = (0, m) if dr == -1 else (h - m, h) if dr == 1 else (0, h)
-        rows, cols = F.sequence(F.lit(r0), F.lit(r1 - 1)), F.sequence(F.lit(c0), F.lit(c1 - 1))
-        place = lambda r, c: (r - dr * h + m) * (w + 2 * m) + (c - dc * w + m)
-        return F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(place(r, c).alias("at"), F.get(F.col(tile)["cells"], r * w + c).alias("v")))))
-
-    sent = layer.select(F.explode(F.array(*(F.struct(F.struct((k["col"] + dc).cast("int").alias("col"), (k["row"] + dr).cast("int").alias("row")).alias("key"), strip(dc, dr).alias("cells")) for dc, dr in steps if m or (dc, dr) == (0, 0)))).alias("s"))
-    size = (w + 2 * m) * (h + 2 * m)
-    wide = sent.groupBy(F.col("s.key").alias(key)).agg(F.sort_array(F.flatten(F.collect_list("s.cells"))).alias("_all"))  # nine strips at most
-    gap = lambda es: F.transform(es, lambda e, i: F.concat(F.array_repeat(F.lit(None).cast("double"), e["at"] - F.coalesce(F.get(es, i - 1)["at"], F.lit(-1)) - 1), F.array(e["v"])))
-    cells_ = F.concat(F.flatten(gap(F.col("_all"))), F.array_repeat(F.lit(None).cast("double"), F.lit(size - 1) - F.get("_all", F.size("_all") - 1)["at"]))
+        all_ = F.col(tile)["cells"]
+        if c1 - c0 == w:
+            return F.slice(all_, r0 * w + 1, (r1 - r0) * w)
+        return F.flatten(F.transform(F.sequence(F.lit(r0), F.lit(r1 - 1)), lambda r: F.slice(all_, (r * w + c0 + 1).cast("int"), F.lit(m))))
+
+    sent = layer.select(F.explode(F.array(*(F.struct(F.struct((k["col"] + dc).cast("int").alias("col"), (k["row"] + dr).cast("int").alias("row")).alias("key"), F.lit(i).alias("step"), strip(dc, dr).alias("cells")) for i, (dc, dr) in enumerate(steps) if m or (dc, dr) == (0, 0)))).alias("s"))
+    wide = sent.groupBy(F.col("s.key").alias(key)).agg(F.collect_list(F.struct("s.step", "s.cells")).alias("_all"))  # nine strips at most
+
+    def band(dr: int) -> tuple[Column, dict[str, Column]]:
+        """Rows of the wide tile: what came from the left, the middle and the right, no data where nothing did."""
+        n = h if dr == 0 else m
+
+        def sent_from(dc: int, width: int) -> Column:
+            step = steps.index((dc, dr))
+            return F.coalesce(F.get(F.filter("_all", lambda s: s["step"] == step), F.lit(0))["cells"], F.array_repeat(F.lit(None).cast("double"), n * width))
+
+        came = {dc: (sent_from(dc, width), width) for dc, width in ((1, m), (0, w), (-1, m)) if width}
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.concat(*(F.slice(F.col(f"_{dr + 1}{dc + 1}"), (r * width + 1).cast("int"), F.lit(width)) for dc, (_, width) in came.items())))), {f"_{dr + 1}{dc + 1}": c for dc, (c, _) in came.items()}
+
+    bands = [band(dr) for dr in ((1, 0, -1) if m else (0,))]
+    wide = wide.withColumns({name: c for _, named in bands for name, c in named.items()})
+    cells_ = F.concat(*(rows for rows, _ in bands))
     made = wide.select(key, F.struct(F.lit(layout.cell_type).alias("cell_type"), F.lit(w + 2 * m).alias("cols"), F.lit(h + 2 * m).alias("rows"), cells_.alias("cells")).alias(f"{tile}_wide"))
     return as_layer(layer.join(made, key, "left"), layout, key)
 
